@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, secrets, simhash
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op7_simhash_near_dedup": simhash.op7,
 }
