@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, html, langid, quality, secrets, simhash
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
     "op3_benchmark_decontamination": decontaminate.op3,
+    "op4_language_id": langid.op4,
+    "op5_quality_classifier": quality.op5,
+    "op6_html_extraction": html.op6,
     "op7_simhash_near_dedup": simhash.op7,
 }
 ORACLE_SQL = {"op3_benchmark_decontamination": decontaminate.ORACLE_SQL}
