@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import common, decontaminate, simhash
+from kindred.llm import common, decontaminate, pieces, quality, secrets, simhash
 
 STAGES = [
-    ("simhash near-dedup", simhash_stage := lambda spark, docs, sf_dir: simhash.stage(spark, docs, sf_dir)),
-    ("benchmark decontamination", lambda spark, docs, sf_dir: decontaminate.stage(spark, docs, sf_dir)),
+    ("quality classifier", quality.stage),
+    ("simhash near-dedup", simhash.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("secret scans", secrets.stage),
+    ("sentencepiece encoding", pieces.stage),
 ]
+#: SQL can express neither the classifier nor the encoder; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

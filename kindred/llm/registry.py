@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, langid, quality, secrets, simhash
+from . import decontaminate, html, langid, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_quality_classifier": quality.op5,
     "op6_html_extraction": html.op6,
     "op7_simhash_near_dedup": simhash.op7,
+    "op10_sentencepiece": pieces.op10,
 }
 ORACLE_SQL = {"op3_benchmark_decontamination": decontaminate.ORACLE_SQL}
