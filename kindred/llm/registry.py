@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, editprint, html, langid, pieces, quality, secrets, simhash
+from . import decontaminate, editprint, html, langid, licences, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5,
     "op6_html_extraction": html.op6,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_license_scans": licences.op8,
     "op9_document_fingerprints": editprint.op9,
     "op10_sentencepiece": pieces.op10,
 }
