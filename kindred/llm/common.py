@@ -59,12 +59,13 @@ def key_filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
     """A one-hash Bloom filter of the long column as a uint8 bitmap.
 
     n: about how many keys there are. False hits are possible (and more of them once n passes the bound), misses are
-    not; whoever uses it checks exactly afterwards. The bits are OR-ed on the executors, the driver gets words of 63 bits.
+    not; whoever uses it checks exactly afterwards. The bits are OR-ed on the executors, the driver gets words of 32 bits.
     """
     bits = min(FILTER_MAX, max(FILTER_MIN, int(np.ceil(np.log2(max(n, 1) * 16)))))
     at = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - bits)
     words = (
-        keys.select((at / 32).cast("long").alias("w"), F.shiftleft(F.lit(1).cast("long"), (at % 32).cast("int")).alias("b"))
+        keys.select(at.alias("at"))
+        .select(F.shiftright("at", 5).alias("w"), F.expr("shiftleft(1L, cast(at & 31 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
@@ -77,10 +78,10 @@ def key_filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def xx_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of each int64, as Spark's xxhash64 of a long column."""
+def xx_long(x: np.ndarray, seed: int | np.ndarray = 42) -> np.ndarray:
+    """XXH64 of each int64, as Spark's xxhash64 of a long column; the hash of one column seeds the next."""
     with np.errstate(over="ignore"):
-        h = np.full(len(x), np.uint64(seed) + _P[4] + np.uint64(8), dtype=np.uint64)
+        h = np.zeros(len(x), dtype=np.uint64) + np.asarray(seed).astype(np.uint64) + _P[4] + np.uint64(8)
         k = x.view(np.uint64) * _P[1]
         k = ((k << np.uint64(31)) | (k >> np.uint64(33))) * _P[0]
         h ^= k

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, editprint, html, langid, licences, pieces, quality, secrets, simhash
+from . import decontaminate, editprint, html, langid, licences, pieces, quality, repeats, secrets, simhash
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op2_suffix_dedup": repeats.op2,
     "op3_benchmark_decontamination": decontaminate.op3,
     "op4_language_id": langid.op4,
     "op5_quality_classifier": quality.op5,
