@@ -279,7 +279,7 @@ def _spans(i: np.ndarray, pos: np.ndarray, length: int) -> pa.RecordBatch:
     """Runs of windows as spans (id, pos, end); rows in order of (id, pos)."""
     new = np.concatenate([[True], (i[1:] != i[:-1]) | (pos[1:] != pos[:-1] + 1)]) if len(i) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(i)) - 1
+    last = np.append(at[1:], len(i))[: len(at)] - 1
     return pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(pos[at]), pa.array(pos[last] + length)], names=["id", "pos", "end"])
 
 
