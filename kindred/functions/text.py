@@ -202,10 +202,19 @@ def distinct_names(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), 1).otherwise(0)
 
 
+def once(c: Column, f) -> Column:
+    """f of c as an array, with c computed once a row: a lambda's own argument is not expanded into its body."""
+    return F.flatten(F.transform(F.array(c), f))
+
+
 def gram_ids(c: Column, n: int = 3) -> Column:
     """31-bit ids of a text's character n-grams (a shorter text is one, an empty one none), from md5 so that SQL can say it too."""
-    grams = F.when(F.length(c) < n, F.filter(F.array(c), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n)))
-    return F.transform(grams, gram_id)
+
+    def grams(x: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: gram_id(F.substring(x, i, n)))
+        return F.when(x == "", F.array().cast("array<bigint>")).when(F.length(x) < n, F.array(gram_id(x))).otherwise(some)
+
+    return once(c, grams)
 
 
 def gram_id(x: Column) -> Column:

@@ -58,7 +58,8 @@ def band_keys(ids: Column, bands: int = BANDS, n: int = PERMUTATIONS) -> Column:
     """Array of one key a band: its number and its rows of the MinHash signature; null without ids."""
     a, b = permutations(n)
     rows = n // bands
-    sign = [F.array_min(F.transform(ids, lambda x, i=i: (x * F.lit(a[i]) + F.lit(b[i])) % PRIME)) for i in range(n)]
+    least = lambda i: F.array_min(F.transform(ids, lambda x: (x * F.lit(a[i]) + F.lit(b[i])) % PRIME))
+    sign = [least(i) for i in range(n)]
     keys = [F.concat_ws(":", F.lit(str(k)), *(s.cast("string") for s in sign[k * rows : (k + 1) * rows])) for k in range(bands)]
     return F.when(F.size(ids) > 0, F.array(*keys))
 
