@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pair_queries, text_queries
+from . import decision_queries, link_queries, pair_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **pair_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE, **pair_queries.ORACLE}
+QUERIES = {**text_queries.QUERIES, **pair_queries.QUERIES, **link_queries.QUERIES, **decision_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE, **pair_queries.ORACLE, **link_queries.ORACLE, **decision_queries.ORACLE}
