@@ -22,9 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="kindred-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table to the shared folder and read back, which cuts its lineage and survives lost executors."""
+#: Rows of a small table (ids, edges, labels) in one file.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read back, which cuts its lineage and survives lost executors.
+
+    rows: about how many a small table has; it is then written to as few files as that takes, not to one a task.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

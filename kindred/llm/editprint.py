@@ -177,7 +177,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     slices = F.when(F.col("n") > rows, F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("n") / rows))).otherwise(0)
     groups = held.groupBy("key", slices.alias("s")).agg(F.collect_list(F.struct("node", "fingerprint")).alias("m"), F.any_value("first").alias("f"))
     edges = groups.select(F.array_distinct(F.concat("m", F.array("f"))).alias("m")).mapInArrow(_verify(least), "u long, v long")
-    root = components(edges).withColumnRenamed("root", "class_id")
+    root = components(edges, fps.count()).withColumnRenamed("root", "class_id")
     named = own.join(root, "node", "left").select("fingerprint", F.coalesce("class_id", "node").alias("class_id"))
     return fps.join(named, "fingerprint").select(id_col, "class_id")
 

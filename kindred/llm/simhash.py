@@ -149,11 +149,11 @@ def _near_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["word", "fp"])
 
 
-def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (u, v) over distinct fps (column fp) with the components of all pairs within DISTANCE bits."""
+def links(fps: DataFrame, rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (u, v) over distinct fps (column fp; about `rows`) with the components of all pairs within DISTANCE bits."""
     keys = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("pid"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, (_, m) in enumerate(patterns())))).alias("k")).select("fp", "k.pid", "k.part")
-    held = common.cut(keys.groupBy("pid", "part").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    full = common.cut(keys.join(held, ["pid", "part"]), "members")
+    held = common.cut(keys.groupBy("pid", "part").agg(F.count("*").alias("n")).where("n > 1"), "buckets", rows)
+    full = common.cut(keys.join(held.hint("merge"), ["pid", "part"]), "members", 4 * rows)  # one plan at every size
     edges = full.where(F.col("n") <= bucket_rows).groupBy("pid", "part").agg(F.collect_list("fp").alias("fps")).select("pid", "fps").mapInArrow(_link, "u long, v long")
     hot = full.where(F.col("n") > bucket_rows)
     if hot.isEmpty():
@@ -166,11 +166,12 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, fp, component_id) of every row."""
     rows = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    n = rows.count()
     own = rows.groupBy("fp").agg(F.min(id_col).alias("m"))
-    root = components(links(own.select("fp"), bucket_rows)).withColumnRenamed("node", "fp")
-    named = common.cut(own.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    root = components(links(own.select("fp"), n, bucket_rows), n).withColumnRenamed("node", "fp")
+    named = common.cut(own.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots", n)
     least = named.groupBy("root").agg(F.min("m").alias("component_id"))
-    label = common.cut(named.join(least, "root").select("fp", "component_id"), "labels")
+    label = common.cut(named.join(least, "root").select("fp", "component_id"), "labels", n)
     return rows.join(label, "fp").select(id_col, "fp", "component_id")
 
 
@@ -185,10 +186,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where rows repeat a doc_id (looked for on ids alone), one row stays, the least by its text. Rows whose doc_id is null stay.
     """
+    n = docs.select("doc_id").count()
     got = classes(docs)
     ids = got.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(common.cut(ids, "kept"), "doc_id", "left_semi")
-    many = common.cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    kept = docs.join(common.cut(ids, "kept", n).hint("merge"), "doc_id", "left_semi")  # one plan at every size
+    many = common.cut(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated", n)
     if not many.isEmpty():
         rank = F.struct(*(F.col(c) for c in ("text", *(c for c in docs.columns if c not in ("text", "doc_id")))))
         once = kept.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rank).alias("r")).select("doc_id", "r.*").select(*docs.columns)
