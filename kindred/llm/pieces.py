@@ -172,14 +172,33 @@ def _ids(x: list[int]) -> bytes:
     return np.array(x, dtype="<i4").tobytes()
 
 
-def _whole(key, data):
-    def run(batches):
-        model = loaded(key, data.value)
-        for b in batches:
-            texts = [x or "" for x in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([_ids(model.lib.encode(x)) for x in texts], pa.binary()), pa.array(texts, pa.string())], names=["__id", "ids", "__text"])
+def _list_array(ids: list[bytes]) -> pa.Array:
+    flat = np.frombuffer(b"".join(ids), dtype="<i4")
+    ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, dtype=np.int32), ends])), pa.array(flat))
 
-    return run
+
+#: What may go with the ids: columns by name, each from (model, texts, ids as binary).
+EXTRA = {
+    "decoded": ("string", lambda model, texts, ids: pa.array([model.lib.decode(numbers(x)) for x in ids], pa.string())),
+    "list": ("array<int>", lambda model, texts, ids: _list_array(ids)),
+}
+
+
+def _with(names):
+    """Rows of __id, ids, __text and the named extras; ids of rows that have none yet are made here."""
+
+    def of(key, data):
+        def run(batches):
+            model = loaded(key, data.value)
+            for b in batches:
+                texts = [x or "" for x in b.column("__text").to_pylist()]
+                ids = b.column("ids").to_pylist() if "ids" in b.schema.names else [_ids(model.lib.encode(x)) for x in texts]
+                yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string()), *(EXTRA[n][1](model, texts, ids) for n in names)], names=["__id", "ids", "__text", *names])
+
+        return run
+
+    return of
 
 
 def _split(key, data, size):
@@ -251,8 +270,10 @@ def _collapse(key, data):
     return run
 
 
-def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(id, text, ids) of every row; ids: little-endian 32-bit numbers as binary (see numbers()).
+def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, ids, extra) of every row; ids: little-endian 32-bit numbers as binary (see numbers()).
+
+    extra: columns of EXTRA, made in the same pass over the rows: decoded text, ids as a list.
 
     The model file is read on the driver and sent along (its size is the public model's, under a megabyte).
     """
@@ -264,7 +285,8 @@ def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = dict(src.dtypes)["__id"]
     giant = F.coalesce(F.length("__text") > chunk, F.lit(False))
-    whole = src.where(~giant).mapInArrow(_whole(key, data), f"__id {kind}, ids binary, __text string")
+    schema = ", ".join([f"__id {kind}, ids binary, __text string", *(f"{n} {EXTRA[n][0]}" for n in extra)])
+    whole = src.where(~giant).mapInArrow(_with(extra)(key, data), schema)
     parts = src.where(giant).mapInArrow(_split(key, data, chunk), f"__id {kind}, row binary, no int, part string, after string").repartition("__id", "no")
     done = f"__id {kind}, row binary, no int, ids binary"
     at = ["__id", "row", "no"]
@@ -285,7 +307,9 @@ def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id",
         joined = joined.mapInArrow(_collapse(key, data), f"__id {kind}, row binary, ids binary")
     back = src.where(giant).withColumn("row", F.substring(F.unhex(F.sha2(F.col("__text").cast("binary"), 256)), 1, 12)).alias("t")
     long = back.join(joined.alias("j"), F.col("t.__id").eqNullSafe(F.col("j.__id")) & (F.col("t.row") == F.col("j.row"))).select("t.__id", "j.ids", "t.__text")
-    return whole.unionByName(long).select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "ids")
+    if extra:
+        long = long.mapInArrow(_with(extra)(key, data), schema)
+    return whole.unionByName(long).select(F.col("__id").alias(id_col), F.col("__text").alias("text"), "ids", *extra)
 
 
 def numbers(ids: bytes) -> list[int]:
@@ -313,7 +337,7 @@ def decode(coded: DataFrame, model_file: str = MODEL) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    got = decode(encode(docs))
+    got = encode(docs, extra=("decoded",))
     return got.select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
@@ -322,21 +346,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(common.table(spark, sf_dir, "documents"))
 
 
-def _lists(batches):
-    for b in batches:
-        ids = b.column("ids")
-        size = [len(x.as_py()) // 4 for x in ids]
-        flat = np.frombuffer(b"".join(x.as_py() for x in ids), dtype="<i4")
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(size, pa.int64()), lists], names=["__id", "n_tokens", "ids"])
-
-
-def token_ids(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids as an array) of encode()'s rows."""
-    src = coded.select(F.col(id_col).alias("__id"), "ids")
-    return src.mapInArrow(_lists, f"__id {dict(src.dtypes)['__id']}, n_tokens long, ids array<int>").withColumnRenamed("__id", id_col)
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: doc_id, n_tokens and ids (array) of every document."""
-    return token_ids(encode(docs))
+    return encode(docs, extra=("list",)).select("doc_id", F.size("list").cast("long").alias("n_tokens"), F.col("list").alias("ids"))
