@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 #: Rows in an Arrow batch; whole texts travel in it, so few.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +40,9 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch of whole texts."""
+    """Bounds the batches of whole texts that Arrow carries and the Parquet reader decodes (its vectors are single large arrays)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS // 2))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
