@@ -27,8 +27,9 @@ from . import common
 
 N_WORDS = 10
 BLOCK_CHARS = 8_000_000
-#: The word pattern and what it means for one byte of UTF-8: bytes of other characters are kept, A-Z is lower-cased.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text as it is given (A-Z not yet lower-cased), and what the pattern means for one byte of UTF-8: bytes of other
+#: characters are kept, A-Z is lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TO = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BUILT: dict[str, object] = {}
 
@@ -61,7 +62,7 @@ def automaton(key: str, items: list[tuple[str, str]], n: int):
 
 
 def hits(made, norm: bytes) -> tuple[list[tuple[int, int]], set[int]]:
-    """Word ranges (first, past the last) that windows cover, merged, and the items hit; norm: words with a space around each."""
+    """Word ranges (first, past the last) that windows cover, overlapping ones merged, and the items hit; norm: words with a space around each."""
     if made is None:
         return [], set()
     found = list(made.iter(norm.decode("latin-1")))
@@ -72,7 +73,7 @@ def hits(made, norm: bytes) -> tuple[list[tuple[int, int]], set[int]]:
     spans, who = [], set()
     for past, (_, (items, size)) in sorted(zip(last.tolist(), found), key=lambda x: x[0] - x[1][1][1]):
         who.update(items)
-        if spans and past - size <= spans[-1][1]:
+        if spans and past - size < spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], past)
         else:
             spans.append([past - size, past])
@@ -152,7 +153,7 @@ def merged(flat: list[int]) -> list[int]:
     """Flat pairs as the union of their ranges."""
     out: list[int] = []
     for a, b in sorted(zip(flat[::2], flat[1::2])):
-        if out and a <= out[-1]:
+        if out and a < out[-1]:
             out[-1] = max(out[-1], b)
         else:
             out += [a, b]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_N, MIN_P, MIN_SHARE, SEED = 3, 0.5, 0.6, 8
-GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|warrant|redistribut|permission|public\s+domain|creative\s+commons|\bcc0?[ -](?:by|0|1)"
+GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|warrant|redistribut|permission|public\s+domain|creative\s+commons|\bcc0?[ -](?:by|0|1)|\b[al]?gpl\b|proprietary|rights\s+reserved"
 #: Usual notices by family.
 TEMPLATES = {
     "mit": [

@@ -12,7 +12,7 @@ the places. Against it stand
   chi-squared: the statistic against a uniform alphabet, under the null approximately normal with the moments of a
                non-central chi-squared; a random token's is far below it
   runs:        the runs of character classes; a random token has far more
-Their z values are put together by Stouffer's rule; exp(-z*z/2)/2 bounds the p-value from above. A token whose serial
+A token must stand out in both, so the lesser z value counts; exp(-z*z/2)/2 bounds its p-value from above. A token whose serial
 correlation is off zero by over 3 standard errors (counting sequences, repeated patterns) is not random and gets p = 1.
 Benjamini-Hochberg at level FDR then runs within each band of lengths, over all tokens of the corpus, on p-values binned
 upwards by quarters of a decade: what is counted is a table of at most a few hundred rows, whatever the corpus.
@@ -82,7 +82,7 @@ def _score(t: Column) -> Column:
     spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     lagged = F.aggregate(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
     serial = F.when(spread == 0, F.lit(99.0)).otherwise(F.abs(lagged / spread + 1 / n) * F.sqrt(n))
-    z = (z_chi + z_runs) / F.sqrt(F.lit(2.0))
+    z = F.least(z_chi, z_runs)
     tens = F.when((z <= 0) | (serial > 3), F.lit(0.0)).otherwise((z * z / 2 + F.log(F.lit(2.0))) / F.log(F.lit(10.0)))
     band = F.when(n < BANDS[0], 0).when(n < BANDS[1], 1).when(n < BANDS[2], 2).otherwise(3)
     return F.struct(band.alias("band"), F.least(F.floor(tens * 4), F.lit(TOP_BIN)).cast("int").alias("bin"))
