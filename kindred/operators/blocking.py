@@ -20,7 +20,20 @@ def keyed(records: DataFrame, key: Column, id_as: str, least: int = 1, *more: st
     return records.select(F.col("entity_id").alias(id_as), key.alias("key"), *more).where(F.length("key") >= least)
 
 
-def exact(reference: DataFrame, query: DataFrame, cap: int = 100) -> DataFrame:
+def digest_keyed(records: DataFrame, keys: dict[str, Column], id_as: str, least: int = 1) -> DataFrame:
+    """(id_as, channel, key): several keys of a record in one pass; long keys travel as digests, of which only equality counts."""
+    made = F.array(*(F.struct(F.lit(n).alias("channel"), k.alias("key")) for n, k in keys.items()))
+    rows = records.select(F.col("entity_id").alias(id_as), F.explode(made).alias("k")).select(id_as, "k.channel", "k.key").where(F.length("key") >= least)
+    return rows.withColumn("key", F.concat("channel", F.lit(":"), F.when(F.length("key") > 64, F.sha2("key", 256)).otherwise(F.col("key"))))
+
+
+def exact_channels(reference: DataFrame, query: DataFrame, keys: dict[str, Column], cap: int = 100) -> DataFrame:
+    """(query_id, s1_id, channel): exact() over several keys at once, each side scanned once."""
+    r, q = digest_keyed(reference, keys, "s1_id", 2), digest_keyed(query, keys, "query_id", 2)
+    return exact(r.drop("channel"), q, cap, "channel")
+
+
+def exact(reference: DataFrame, query: DataFrame, cap: int = 100, *more: str) -> DataFrame:
     """Pairs of equal keys; a key with over `cap` different reference ids gives none. Sides as keyed() with id s1_id, query_id.
 
     Oversize keys are found by a partial aggregate and dropped from the reference side, so the join itself meets at most `cap`
@@ -28,7 +41,7 @@ def exact(reference: DataFrame, query: DataFrame, cap: int = 100) -> DataFrame:
     """
     sizes = reference.groupBy("key").agg(F.countDistinct("s1_id").alias("n")).where(F.col("n") <= cap).select("key")
     usable = reference.join(sizes, "key", "left_semi").distinct()
-    return query.join(usable, "key").select("query_id", "s1_id").distinct()
+    return query.join(usable, "key").select("query_id", "s1_id", *more).distinct()
 
 
 def first_of_bucket(reference: DataFrame, cap: int = 20, first: str = "first") -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity joins with per-query top k over postings (term, id, weight).
 
-A score is a join of query terms with postings and a sum by pair; terms in over max_df of the reference records are out,
-which bounds the hottest key. Scores are rounded before ranking, ties go by s1_id, so float order cannot flip a rank.
+Postings are made by joins and aggregates; scoring is a sparse dot product in numpy over blocks of queries and reference
+records (see search). Terms in over max_df of the reference records are out, which bounds the longest posting list. Scores are rounded before ranking, ties go by s1_id, so float order cannot flip a rank.
 Corpus scalars (number of records, mean length) travel as a one-row broadcast.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +74,59 @@ def bm25_postings(reference: DataFrame, column: str, mode: Bm25 = MAIN) -> DataF
 def bm25_top(reference: DataFrame, query: DataFrame, column: str, k: int, mode: Bm25 = MAIN) -> DataFrame:
     """(query_id, s1_id, score, rank)."""
     q = tokens(query, column, "query_id").withColumn("q", F.col("tf").cast("double") if mode.query_tf else F.lit(1.0)).drop("tf")
-    return top(scores(q, bm25_postings(reference, column, mode)), k)
-
-
-def scores(query: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, s1_id, score) of every pair with a term in common; query: (query_id, term, q)."""
-    return query.join(postings, "term").groupBy("query_id", "s1_id").agg(F.round(F.sum(F.col("q") * F.col("weight")), DIGITS).alias("score"))
+    return search(q, bm25_postings(reference, column, mode), k, query.count(), reference.count())
+
+
+REFERENCE_BLOCK, QUERY_BLOCK = 50_000, 20_000
+
+
+def _block_top(k: int, floor: float):
+    """Scores of a block of queries against a block of reference records; no pair leaves but each query's k best."""
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"query_id": pd.Series(dtype=str), "s1_id": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+        code, ids = pd.factorize(p.s1_id, sort=True)  # in order of ids, which decides ties
+        term, terms = pd.factorize(p.term)
+        order = np.argsort(term, kind="stable")
+        code, weight = code[order], p.weight.to_numpy()[order]
+        at = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        number = {t: i for i, t in enumerate(terms)}
+        out: list[tuple] = []
+        sums = np.zeros(len(ids))
+        for query, rows in q.groupby("query_id", sort=False):
+            sums[:] = 0
+            for t, w in zip(rows.term, rows.q):
+                i = number.get(t)
+                if i is not None:
+                    sums[code[at[i] : at[i + 1]]] += w * weight[at[i] : at[i + 1]]
+            score = np.round(sums, DIGITS)
+            some = np.flatnonzero(score > floor)
+            if len(some) > k:
+                least = np.partition(score[some], len(some) - k)[len(some) - k]
+                some = some[score[some] >= least]
+                some = some[np.lexsort((some, -score[some]))][:k]
+            out += [(query, ids[i], score[i]) for i in some]
+        return pd.DataFrame(out, columns=["query_id", "s1_id", "score"])
+
+    return run
+
+
+def search(query: DataFrame, postings: DataFrame, k: int, n_query: int, n_reference: int, floor: float = FLOOR) -> DataFrame:
+    """(query_id, s1_id, score, rank) by sparse dot product; query: (query_id, term, q), postings: (term, s1_id, weight).
+
+    Both sides are dealt in blocks of bounded size, and every block of queries meets every block of reference records in a
+    task of its own, which gives out k rows a query. A join on terms would give out a row for each shared term of each
+    pair first, and its hottest terms would decide the time.
+    """
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    rb = max(1, -(-n_reference // REFERENCE_BLOCK))
+    qb = max(1, min(-(-n_query // QUERY_BLOCK) * cores, -(-n_query // 100)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.select("query_id", "term", F.col("q").cast("double").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("a"), each(rb).alias("b"))
+    p = postings.select("term", "s1_id", "weight", each(qb).alias("a"), F.pmod(F.xxhash64("s1_id"), F.lit(rb)).cast("int").alias("b"))
+    found = q.groupBy("a", "b").cogroup(p.groupBy("a", "b")).applyInPandas(_block_top(k, floor), "query_id string, s1_id string, score double")
+    return top(found, k, floor)
 
 
 def top(scored: DataFrame, k: int, floor: float = FLOOR, score: str = "score") -> DataFrame:
@@ -122,7 +171,7 @@ def tfidf_top(reference: DataFrame, query: DataFrame, column: str, k: int, min_d
         return x.join(norm, by).select(by, "term", (F.col("w") / F.col("norm")).alias("w"))
 
     q = unit(tfidf_rows(query, column, "query_id"), "query_id").withColumnRenamed("w", "q")
-    return top(scores(q, unit(rows, "s1_id").withColumnRenamed("w", "weight")), k)
+    return search(q, unit(rows, "s1_id").withColumnRenamed("w", "weight"), k, query.count(), reference.count())
 
 
 def dense_top(query: DataFrame, reference: DataFrame, k: int, floor: float = 0.0, block: int = 4096) -> DataFrame:

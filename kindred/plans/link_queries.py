@@ -22,13 +22,12 @@ def _keys(ref: DataFrame, query: DataFrame, c, least: int = 1) -> tuple[DataFram
 def j1_exact_capped(spark: SparkSession, d: str) -> DataFrame:
     """Names, addresses and both; keys over the cap give nothing."""
     ref, query, _ = sides(spark, d)
+    return blocking.exact_channels(ref, query, _three(), 30)
+
+
+def _three() -> dict:
     name, addr = text.normalize("business_name"), text.normalize("business_address")
-    out = None
-    for channel, c in (("name", name), ("address", addr), ("combined", text.join_fields(name, addr))):
-        r, q = _keys(ref, query, c, 2)
-        one = blocking.exact(r.drop("first"), q, 30).withColumn("channel", F.lit(channel))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return {"name": name, "address": addr, "combined": text.join_fields(name, addr)}
 
 
 def j2_truncated(spark: SparkSession, d: str) -> DataFrame:
@@ -98,11 +97,8 @@ def j8_token(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
     ref, query, _ = sides(spark, d)
-    name, addr = text.normalize("business_name"), text.normalize("business_address")
-    channels = {}
-    for channel, c in (("exact_name", name), ("exact_address", addr), ("exact_combined", text.join_fields(name, addr))):
-        r, q = _keys(ref, query, c, 2)
-        channels[channel] = blocking.exact(r.drop("first"), q, 30)
+    found = blocking.exact_channels(ref, query, _three(), 30)
+    channels = {f"exact_{c}": found.where(F.col("channel") == c).drop("channel") for c in ("name", "address", "combined")}
     forms = lambda df: df.select("entity_id", text.transliterate("business_name").alias("t"))
     channels["bm25_name"] = retrieval.bm25_top(forms(ref), forms(query), "t", K)
     return blocking.country_block(candidates.merged(channels), query, ref)

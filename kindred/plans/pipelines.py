@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text, vectors
+from ..functions import text
 from ..operators import assign, blocking, candidates, features, models, retrieval, veto
 
 
@@ -37,8 +41,8 @@ def main_candidates(ref: DataFrame, query: DataFrame, limits: Limits = INFERENCE
 
 def main(ref: DataFrame, query: DataFrame, score, absolute: float = 0.65, margin: float = 0.05, limits: Limits = INFERENCE) -> tuple[DataFrame, DataFrame]:
     """(edges, candidates); score: 61 feature columns to a score column, or a fitted model."""
-    r, q = features.prepared(ref), features.prepared(query)
-    found = main_candidates(r, q, limits)
+    r, q = features.prepared(ref).persist(), features.prepared(query).persist()  # read by each channel and by the features
+    found = main_candidates(r, q, limits).persist()  # read by the features and by the last semi join
     rows = features.main(found, q, r)
     scored = models.predict(score, rows) if not isinstance(score, Column) else rows.withColumn("score", score)
     edges = assign.main(scored.select("query_id", "s1_id", "score"), absolute, margin)
@@ -53,7 +57,7 @@ def sieve(ref: DataFrame, query: DataFrame, score, absolute: float = 0.5, margin
     rest = q.join(locked.select(F.col("query_id").alias("entity_id")), "entity_id", "left_anti")
     channels = [(blocking.truncated(blocking.keyed(r, F.col(c), "s1_id", 1, "first"), blocking.keyed(rest, F.col(c), "query_id")), s) for c, s in (("n", 10.0), ("a", 8.0))]
     channels.append((retrieval.bm25_top(r, rest, "c", k, retrieval.SIEVE), None))
-    found = candidates.priority_fill(channels, k)
+    found = candidates.priority_fill(channels, k).persist()
     rows = features.sieve(found, query, ref)
     scored = models.predict(score, rows) if not isinstance(score, Column) else rows.withColumn("score", score)
     edges = assign.sieve(locked, veto.apply(scored).select("query_id", "s1_id", "score"), absolute, margin)
@@ -68,18 +72,42 @@ def hybrid(ref: DataFrame, query: DataFrame, blocked: DataFrame, score, absolute
     return assign.hybrid(scored.select("query_id", "s1_id", "score"), absolute, margin), blocked.select("query_id", "s1_id")
 
 
+def _word_vector(word: str, dims: int) -> np.ndarray:
+    """Signed hashes of the trigrams of <word>, the first 32, scaled to length 1."""
+    x = f"<{word}>"
+    ids = {(int(hashlib.md5(x[i : i + 3].encode()).hexdigest()[:8], 16) & 0x7FFFFFFF) % 65535 + 1 for i in range(min(32, len(x) - 2))}
+    v = np.zeros(dims)
+    for g in ids:
+        v[g % dims] += 1.0 if (g // dims) % 2 == 0 else -1.0
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
 def token_vectors(records: DataFrame, dims: int = 64) -> DataFrame:
-    """(entity_id, v): a unit vector for each word of the serialised record, from signed hashes of its padded trigrams.
+    """(entity_id, v): a unit vector for each word of the serialised record.
 
     Stands in for a trained token encoder, whose output has the same shape.
     """
-    line = text.serialize(text.clean("business_name"), text.clean("business_address"), text.country("country"))
-    word = records.select("entity_id", F.posexplode(text.words(line)).alias("p", "w"))
-    grams = word.select("entity_id", "p", F.explode(F.array_distinct(text.padded_gram_ids(F.col("w")))).alias("g")).where("g > 0")
-    at = grams.groupBy("entity_id", "p", (F.col("g") % dims).cast("int").alias("i")).agg(F.sum(F.when(F.floor(F.col("g") / dims) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
-    vec = at.groupBy("entity_id", "p").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    dense = vec.select("entity_id", "p", vectors.unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("v"))
-    return dense.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("v"))
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def encode(lines: pd.Series) -> pd.Series:
+        known: dict[str, list[float]] = {}
+
+        def of(line: str) -> list[list[float]]:
+            for w in line.split():
+                if w not in known:
+                    known[w] = _word_vector(w, dims).tolist()
+            return [known[w] for w in line.split()]
+
+        return lines.map(of)
+
+    return records.select("entity_id", encode(text.serialize(text.clean("business_name"), text.clean("business_address"), text.country("country"))).alias("v"))
+
+
+@F.pandas_udf(T.DoubleType())
+def maxsim(q: pd.Series, d: pd.Series) -> pd.Series:
+    """As vectors.maxsim, for many token vectors a record: a matrix product a pair."""
+    return pd.Series([float((np.stack(a) @ np.stack(b).T).max(axis=1).mean()) if len(a) and len(b) else 0.0 for a, b in zip(q, d)])
 
 
 def late(ref: DataFrame, query: DataFrame, absolute: float = 0.6, margin: float = 0.02, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +116,7 @@ def late(ref: DataFrame, query: DataFrame, absolute: float = 0.6, margin: float
     r, q = forms(ref), forms(query)
     channels = [(blocking.truncated(blocking.keyed(r, F.col(c), "s1_id", 1, "first"), blocking.keyed(q, F.col(c), "query_id")), s) for c, s in (("c", 10.0), ("n", 9.0), ("a", 8.0))]
     channels.append((retrieval.bm25_top(r, q, "c", k, retrieval.LATE), None))
-    found = candidates.priority_fill(channels, k)
+    found = candidates.priority_fill(channels, k).persist()
     qv, rv = (token_vectors(x).select(F.col("entity_id").alias(i), F.col("v").alias(v)) for x, i, v in ((query, "query_id", "qv"), (ref, "s1_id", "rv")))
-    scored = found.select("query_id", "s1_id").join(qv, "query_id").join(rv, "s1_id").select("query_id", "s1_id", F.round(vectors.maxsim(F.col("qv"), F.col("rv")), 6).alias("score"))
+    scored = found.select("query_id", "s1_id").join(qv, "query_id").join(rv, "s1_id").select("query_id", "s1_id", F.round(maxsim("qv", "rv"), 6).alias("score"))
     return assign.late(scored, absolute, margin), found.select("query_id", "s1_id")

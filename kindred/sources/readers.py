@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores where its scan has fewer splits than these (one small file); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def record_file(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """A tab-separated file of records with a header: all strings, missing as the empty string, the word NA kept.
 
@@ -49,7 +55,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: the first line is the name, the other lines the address, lang the country; sources go round by doc_id."""
     t = text.text("text")
     rest = F.when(F.instr(t, "\n") > 0, F.replace(F.expr("substring(coalesce(text, ''), instr(coalesce(text, ''), '\n') + 1)"), F.lit("\n"), F.lit(" "))).otherwise("")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         F.substring_index(t, "\n", 1).alias("business_name"), rest.alias("business_address"), text.text("lang").alias("country"), "doc_id",
     )
