@@ -345,6 +345,13 @@ ORACLE = {
         SELECT query_id, s1_id AS positive_id, negative_id FROM truth JOIN o USING (query_id)""",
     "sk1_collapsed": f"{_P}, {_V1} SELECT entity_id AS source1_entity_id, coalesce(string_agg(query_id, ',' ORDER BY query_id), '') AS matched_entity_ids FROM ref LEFT JOIN predicted ON s1_id = entity_id GROUP BY 1",
     "sk4_subset": f"{_EXTEND} SELECT 'kept' AS part, s1_id, query_id FROM predicted SEMI JOIN found USING (s1_id, query_id) UNION ALL SELECT 'extended', s1_id, query_id FROM (SELECT s1_id, query_id FROM found UNION SELECT s1_id, query_id FROM predicted)",
+    "m11_violations": rf"""{_P}, {_V1}, res AS (SELECT entity_id AS s1_id, coalesce(string_agg(query_id, ',' ORDER BY query_id), '') AS ids FROM ref LEFT JOIN predicted ON s1_id = entity_id GROUP BY 1),
+        k AS (SELECT *, regexp_extract(s1_id, '\d+$')::BIGINT % 97 AS m FROM res), bad AS (SELECT s1_id, CASE WHEN m = 1 THEN 'S2-4,S2-4' WHEN m = 2 THEN s1_id WHEN m = 3 THEN 'X-1' ELSE ids END AS ids FROM k WHERE m <> 5),
+        x AS (SELECT * FROM bad UNION ALL SELECT s1_id, ids FROM k WHERE m = 7), e AS (SELECT s1_id, unnest(list_filter(string_split(ids, ','), lambda w: w <> '')) AS id FROM x),
+        d AS (SELECT bad.s1_id, list_sort(list_distinct(list_filter(string_split(bad.ids, ','), lambda w: w <> '' AND NOT list_contains(string_split(res.ids, ','), w)))) AS extra FROM bad JOIN res USING (s1_id))
+        SELECT 'matching' AS file, 'duplicate_row' AS rule, s1_id, count(*)::VARCHAR AS detail FROM x GROUP BY s1_id HAVING count(*) > 1 UNION SELECT 'matching', 'duplicate_id', s1_id, id FROM e GROUP BY s1_id, id HAVING count(*) > 1
+        UNION SELECT 'matching', 'self_match', s1_id, id FROM e WHERE id = s1_id UNION SELECT 'matching', 'wrong_prefix', s1_id, id FROM e WHERE NOT regexp_matches(id, '^S[23]-') AND id <> s1_id
+        UNION SELECT 'matching', 'missing_row', entity_id, '' FROM ref WHERE entity_id NOT IN (SELECT s1_id FROM x) UNION SELECT 'matching', 'not_a_subset', s1_id, array_to_string(extra, ',') FROM d WHERE len(extra) > 0""",
     "stream_replay": f"""{_S}, r AS (SELECT entity_id AS s1_id, trim({sql.norm("business_name")} || ' ' || {sql.norm("business_address")}) AS k FROM ref), q AS (SELECT entity_id AS query_id, trim({sql.norm("business_name")} || ' ' || {sql.norm("business_address")}) AS k FROM qry)
         SELECT query_id, s1_id FROM q JOIN (SELECT k, min(s1_id) AS s1_id FROM r WHERE k <> '' GROUP BY k HAVING count(*) = 1) USING (k)""",
     "t4_shuffled": f"WITH {sql.RECORDS} SELECT substr(entity_id, 1, 2) AS source, entity_id, row_number() OVER (PARTITION BY substr(entity_id, 1, 2) ORDER BY {_MD5('entity_id')}, entity_id) AS position FROM records QUALIFY position <= 100",
