@@ -74,9 +74,12 @@ def _normalize_full(s: pd.Series) -> pd.Series:
     return s.map(normal)
 
 
-@F.pandas_udf(T.StringType())
-def _latin_full(s: pd.Series) -> pd.Series:
-    return s.map(latin)
+def _latin_full(column: Column | str, inner: bool = True, unmapped: str = "keep") -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: latin(x, inner, unmapped))
+
+    return run(column)
 
 
 def transliterate(c: Column | str) -> Column:
@@ -89,16 +92,32 @@ def transliterate(c: Column | str) -> Column:
 _PLAIN = r"^[\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]*$"
 
 
+def _by_plainness(df: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    plain = F.lit(True)
+    for c in columns.values():
+        plain = plain & text(c).rlike(_PLAIN)
+    return df.where(plain), df.where(~plain)
+
+
+def with_clean(df: DataFrame, columns: dict[str, str], unmapped: str = "keep") -> DataFrame:
+    """df with each new: column cleaned for the later variants (normalised, Latin, expanded), in full; rows are split as in with_forms.
+
+    unmapped: Devanagari without a counterpart, keep (sieve) or drop (late).
+    """
+    fast, slow = _by_plainness(df, columns)
+    for new, c in columns.items():
+        fast = fast.withColumn(new, clean(c))
+        slow = slow.withColumn(new, expand(_latin_full(_normalize_full(text(c)), False, unmapped)))
+    return fast.unionByName(slow)
+
+
 def with_forms(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with <new>_normalized and <new>_transliterated for each new: column, in full.
 
     Rows of plain characters stay in the JVM; only the others, split off by a filter so that none is computed twice, go
     through Arrow batches.
     """
-    plain = F.lit(True)
-    for c in columns.values():
-        plain = plain & text(c).rlike(_PLAIN)
-    fast, slow = df.where(plain), df.where(~plain)
+    fast, slow = _by_plainness(df, columns)
     for new, c in columns.items():
         fast = fast.withColumn(f"{new}_normalized", normalize(c)).withColumn(f"{new}_transliterated", transliterate(c))
         slow = slow.withColumn(f"{new}_normalized", _normalize_full(text(c)))
@@ -114,7 +133,7 @@ def expand(c: Column, indic: bool = False) -> Column:
 
 
 def clean(c: Column | str) -> Column:
-    """Normalised, Latin, expanded: the fields of the later variants."""
+    """Normalised, Latin, expanded, for text without Devanagari; see with_clean."""
     return expand(transliterate(c))
 
 

@@ -151,7 +151,8 @@ def sieve(candidates: DataFrame, query: DataFrame, reference: DataFrame) -> Data
     """query_id, s1_id, the 28 columns of the sieve variant and veto. candidates have score and rank; records clean fields."""
 
     def side(df: DataFrame, id_as: str, p: str) -> DataFrame:
-        return df.select(F.col("entity_id").alias(id_as), text.clean("business_name").alias(f"{p}_name"), text.clean("business_address").alias(f"{p}_addr"), F.col("country").alias(f"{p}_country"))
+        cleaned = text.with_clean(df, {f"{p}_name": "business_name", f"{p}_addr": "business_address"})
+        return cleaned.select(F.col("entity_id").alias(id_as), f"{p}_name", f"{p}_addr", F.col("country").alias(f"{p}_country"))
 
     x = candidates.join(side(query, "query_id", "q"), "query_id", "left").join(side(reference, "s1_id", "s"), "s1_id", "left").na.fill("", ["q_name", "q_addr", "q_country", "s_name", "s_addr", "s_country"])
     for p in "qs":

@@ -49,9 +49,14 @@ def main(ref: DataFrame, query: DataFrame, score, absolute: float = 0.65, margin
     return edges.join(found.select("query_id", "s1_id"), ["query_id", "s1_id"], "left_semi"), found
 
 
+def _cleaned(df: DataFrame, unmapped: str) -> DataFrame:
+    """n, a (clean name and address) and first, the order within buckets."""
+    return text.with_clean(df, {"n": "business_name", "a": "business_address"}, unmapped).withColumn("first", F.col("entity_id"))
+
+
 def sieve(ref: DataFrame, query: DataFrame, score, absolute: float = 0.5, margin: float = 0.05, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """Unique combined keys are locked; the others are scored and vetoed. (edges, candidates)."""
-    forms = lambda df: df.withColumns({"n": text.clean("business_name"), "a": text.clean("business_address"), "first": F.col("entity_id")}).withColumn("c", text.join_fields(F.col("n"), F.col("a")))
+    forms = lambda df: _cleaned(df, "keep").withColumn("c", text.join_fields(F.col("n"), F.col("a")))
     r, q = forms(ref), forms(query)
     locked, _ = blocking.unique_key(blocking.keyed(r, F.col("c"), "s1_id"), blocking.keyed(q, F.col("c"), "query_id"))
     rest = q.join(locked.select(F.col("query_id").alias("entity_id")), "entity_id", "left_anti")
@@ -101,7 +106,8 @@ def token_vectors(records: DataFrame, dims: int = 64) -> DataFrame:
 
         return lines.map(of)
 
-    return records.select("entity_id", encode(text.serialize(text.clean("business_name"), text.clean("business_address"), text.country("country"))).alias("v"))
+    line = text.serialize(F.col("n"), F.col("a"), text.country("country"))
+    return _cleaned(records, "drop").select("entity_id", encode(line).alias("v"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -112,7 +118,7 @@ def maxsim(q: pd.Series, d: pd.Series) -> pd.Series:
 
 def late(ref: DataFrame, query: DataFrame, absolute: float = 0.6, margin: float = 0.02, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Priority-filled candidates scored by late interaction of token vectors. (edges, candidates)."""
-    forms = lambda df: df.withColumns({"n": text.clean("business_name"), "a": text.clean("business_address"), "first": F.col("entity_id")}).withColumn("c", F.concat_ws(" ", "n", "a"))
+    forms = lambda df: _cleaned(df, "drop").withColumn("c", F.concat_ws(" ", "n", "a"))
     r, q = forms(ref), forms(query)
     channels = [(blocking.truncated(blocking.keyed(r, F.col(c), "s1_id", 1, "first"), blocking.keyed(q, F.col(c), "query_id")), s) for c, s in (("c", 10.0), ("n", 9.0), ("a", 8.0))]
     channels.append((retrieval.bm25_top(r, q, "c", k, retrieval.LATE), None))

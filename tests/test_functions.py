@@ -34,6 +34,13 @@ def test_forms_split_by_script(spark):
     assert got["1"].name_transliterated == "cafe ltd" and got["2"].name_transliterated == text.latin("फर्स्ट") and got["3"].name_normalized == "na" and got["2"].addr_normalized == ""
 
 
+def test_clean_of_other_scripts(spark):
+    df = spark.createDataFrame([("1", "फर्स्ट pvt ltd"), ("2", "Café, Inc."), ("3", "क ऍ"), ("4", None)], "entity_id string, n string")
+    keep, drop = ({r.entity_id: r.x for r in text.with_clean(df, {"x": "n"}, u).collect()} for u in ("keep", "drop"))
+    assert keep["1"] == text.latin(text.normal("फर्स्ट"), False) + " private limited" and keep["2"] == "cafe incorporated" and keep["4"] == ""
+    assert keep["3"] == "k ऍ" and drop["3"] == "k"
+
+
 def test_expand_in_order(spark):
     assert one(spark, text.expand(F.lit("prime pvt ltd co st"))) == "prime private limited company street"
     assert one(spark, text.expand(F.lit("प्रा लि"), indic=True)) == "private limited"
