@@ -24,13 +24,14 @@ from . import common
 SHARE, MOST = 0.15, 0.6
 #: HTML's own lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select option button object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select option button object canvas audio video".split())
 BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("head nav header footer aside form menu dialog search fieldset".split())
 #: Words of class, id and role that name furniture.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside complementary rail menu menus nav navbar navigation breadcrumb breadcrumbs toolbar footer foot header masthead contentinfo comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup login search widget widgets pagination pager".split()
 )
+RELATION = frozenset("has no not with without".split())
 KEPT = frozenset("html body main article".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -43,7 +44,8 @@ def _named(attrs: str, tag: str) -> bool:
     if tag in KEPT:
         return False
     for m in _NAME.finditer(attrs):
-        words = {x.lower() for x in _PART.findall(m[2] or m[3] or m[4] or "")}
+        parts = [x.lower() for x in _PART.findall(m[2] or m[3] or m[4] or "")]
+        words = {x for before, x in zip(["", *parts], parts) if before not in RELATION}  # has-sidebar is no sidebar
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             words -= {"header", "masthead", "banner"}
         if words & NAMES:

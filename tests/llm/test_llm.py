@@ -255,6 +255,7 @@ def test_risk_is_not_negative():
         ("<nav><a>m</a></nav><div class='sidebar'>s s s</div><main><p>Body, one.</p><form>q</form><aside>n</aside><p>two</p></main><div id=comments><p>I, too.</p></div>", "Body, one.\ntwo"),
         ("<div class=cookie-notice>We use, cookies.</div><div class=post><p>A real, long text. With commas, and so on.</p><p>b</p></div><script>var x='</p>'</script>", "A real, long text. With commas, and so on.\nb"),
         ("<body><article><p>a&nbsp;b &#233; &lt;c&gt;<!-- no --></p><ul><li>x<li>y</ul></article></body>", "a b é <c>\nx\ny"),
+        ("<div class='content has-sidebar'><p>Kept, <math><mi>x</mi></math> too.</p><section class=comments><p>Mine, yes.</p></section></div>", "Kept, x too."),
         ("<style>p{}</style><title>t</title><p>only", "only"),
     ],
 )
