@@ -25,6 +25,7 @@ SHARE, MOST = 0.15, 0.6
 #: HTML's own lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select option button object canvas audio video".split())
+UNSEEN = frozenset("script style title noscript template".split())
 BLOCK = frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("head nav header footer aside form menu dialog search fieldset".split())
 #: Words of class, id and role that name furniture.
@@ -64,14 +65,19 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str]]:
         if buf:
             text = " ".join(entities.unescape("".join(buf)).split())
             buf.clear()
-            if text and not (stack and stack[-1][1]):
+            if text:
                 held = [x for x in stack if x[0] in BLOCK]
                 out.append((tuple(x[2] for x in held), "/".join(x[0] for x in held), text))
 
+    def add(text: str) -> None:
+        if not (stack and stack[-1][1]):
+            buf.append(text)
+
     def close(tags, stop) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
-                flush()
+                if any(x[0] in BLOCK for x in stack[i:]):
+                    flush()
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -81,10 +87,10 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str]]:
     while at < end:
         m = _TAG.search(page, at)
         if not m:
-            buf.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            buf.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -98,13 +104,14 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str]]:
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
-            buf.append(" ")
+            if tag not in UNSEEN:
+                add(" ")
             continue
         if tag in VOID:
             if tag in BLOCK:
                 flush()
             elif tag == "br":
-                buf.append(" ")
+                add(" ")
             continue
         if tag == "body":
             close({"head"}, frozenset())

@@ -256,6 +256,7 @@ def test_risk_is_not_negative():
         ("<div class=cookie-notice>We use, cookies.</div><div class=post><p>A real, long text. With commas, and so on.</p><p>b</p></div><script>var x='</p>'</script>", "A real, long text. With commas, and so on.\nb"),
         ("<body><article><p>a&nbsp;b &#233; &lt;c&gt;<!-- no --></p><ul><li>x<li>y</ul></article></body>", "a b é <c>\nx\ny"),
         ("<div class='content has-sidebar'><p>Kept, <math><mi>x</mi></math> too.</p><section class=comments><p>Mine, yes.</p></section></div>", "Kept, x too."),
+        ("<article><p>One <b>bold</b> and <a href='x'>a <i>link</i></a>, <span class=ad>buy</span>done.</p><p>w<em>ord</em><script>x</script>s</p></article>", "One bold and a link, done.\nwords"),
         ("<style>p{}</style><title>t</title><p>only", "only"),
     ],
 )
