@@ -74,10 +74,11 @@ def bm25_postings(reference: DataFrame, column: str, mode: Bm25 = MAIN) -> DataF
 def bm25_top(reference: DataFrame, query: DataFrame, column: str, k: int, mode: Bm25 = MAIN) -> DataFrame:
     """(query_id, s1_id, score, rank)."""
     q = tokens(query, column, "query_id").withColumn("q", F.col("tf").cast("double") if mode.query_tf else F.lit(1.0)).drop("tf")
-    return search(q, bm25_postings(reference, column, mode), k, query.count(), reference.count())
+    return search(q, bm25_postings(reference, column, mode), k)
 
 
-REFERENCE_BLOCK, QUERY_BLOCK = 50_000, 20_000
+#: Rows of terms, not records, so that long texts make smaller blocks: at most about 200 MB a task.
+POSTINGS_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 2_000_000, 500_000, 5_000
 
 
 def _block_top(k: int, floor: float):
@@ -112,16 +113,19 @@ def _block_top(k: int, floor: float):
     return run
 
 
-def search(query: DataFrame, postings: DataFrame, k: int, n_query: int, n_reference: int, floor: float = FLOOR) -> DataFrame:
+def search(query: DataFrame, postings: DataFrame, k: int, floor: float = FLOOR) -> DataFrame:
     """(query_id, s1_id, score, rank) by sparse dot product; query: (query_id, term, q), postings: (term, s1_id, weight).
 
     Both sides are dealt in blocks of bounded size, and every block of queries meets every block of reference records in a
     task of its own, which gives out k rows a query. A join on terms would give out a row for each shared term of each
-    pair first, and its hottest terms would decide the time.
+    pair first, and its hottest terms would decide the time. Both sides are kept (memory, then disk) as they are counted and
+    then dealt.
     """
     cores = query.sparkSession.sparkContext.defaultParallelism
-    rb = max(1, -(-n_reference // REFERENCE_BLOCK))
-    qb = max(1, min(-(-n_query // QUERY_BLOCK) * cores, -(-n_query // 100)))
+    query, postings = query.persist(), postings.persist()
+    nq = query.count()
+    rb = max(1, -(-postings.count() // POSTINGS_BLOCK))
+    qb = max(1, -(-nq // QUERY_BLOCK), min(cores, nq // LEAST_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = query.select("query_id", "term", F.col("q").cast("double").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("a"), each(rb).alias("b"))
     p = postings.select("term", "s1_id", "weight", each(qb).alias("a"), F.pmod(F.xxhash64("s1_id"), F.lit(rb)).cast("int").alias("b"))
@@ -171,7 +175,7 @@ def tfidf_top(reference: DataFrame, query: DataFrame, column: str, k: int, min_d
         return x.join(norm, by).select(by, "term", (F.col("w") / F.col("norm")).alias("w"))
 
     q = unit(tfidf_rows(query, column, "query_id"), "query_id").withColumnRenamed("w", "q")
-    return search(q, unit(rows, "s1_id").withColumnRenamed("w", "weight"), k, query.count(), reference.count())
+    return search(q, unit(rows, "s1_id").withColumnRenamed("w", "weight"), k)
 
 
 def dense_top(query: DataFrame, reference: DataFrame, k: int, floor: float = 0.0, block: int = 4096) -> DataFrame:

@@ -56,7 +56,7 @@ def n10_acronym(spark: SparkSession, d: str) -> DataFrame:
     """Each market segment's and region's initials against names made of several words."""
     names = readers.table(spark, d, "part").select("p_name").distinct()
     q = readers.table(spark, d, "part").select(F.upper(F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 1)), "")).alias("q")).distinct()
-    return names.join(F.broadcast(q), F.substring(F.upper("p_name"), 1, 1) == F.substring("q", 1, 1)).select("q", "p_name", text.acronym(F.col("q"), F.col("p_name")).alias("is_acronym"))
+    return names.join(q, F.substring(F.upper("p_name"), 1, 1) == F.substring("q", 1, 1)).select("q", "p_name", text.acronym(F.col("q"), F.col("p_name")).alias("is_acronym"))
 
 
 def n11_distinct_names(spark: SparkSession, d: str) -> DataFrame:

@@ -68,13 +68,13 @@ RECORDS_SQL = """records AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS
 
 def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers (S1) and suppliers (S2, S3 by parity of their key) as records of short fields, with key."""
-    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", F.replace("n_name", F.lit("_"), F.lit(" ")).alias("n_name"), "r_name")
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", F.replace("n_name", F.lit("_"), F.lit(" ")).alias("n_name"), "r_name")
     both = (
         table(spark, sf_dir, "customer")
         .select(F.lit("S1").alias("s"), F.col("c_custkey").alias("key"), F.col("c_name").alias("business_name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("more"))
         .unionByName(table(spark, sf_dir, "supplier").select(F.when(F.expr("s_suppkey % 2 = 0"), "S2").otherwise("S3").alias("s"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("business_name"), F.col("s_nationkey").alias("nation"), F.lit("").alias("more")))
     )
-    return both.join(F.broadcast(nations), F.expr("nation = n_nationkey")).select(
+    return both.join(nations, F.expr("nation = n_nationkey")).select(
         F.concat_ws("-", "s", F.col("key").cast("string")).alias("entity_id"), "business_name", F.trim(F.concat_ws(" ", "n_name", "more")).alias("business_address"), F.col("r_name").alias("country"), "key"
     )
 
