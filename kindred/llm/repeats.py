@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     many = not ids.groupBy("id").count().where("count > 1").isEmpty()
     sub = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF) if many else F.lit(0).cast("long")
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), sub.alias("sub"), F.col(text_col).alias("text"))
-    bits = int(min(14, max(8, np.ceil(np.log2(max(1, n) / 4000)))))
+    bits = int(min(17, max(8, np.ceil(np.log2(max(1, n) / 4000)))))
 
     ranks = src.select("text").mapInArrow(_rank_blocks(length, bits), "bucket int, ranks binary").repartition("bucket").mapInArrow(_repeated_ranks(bits), "rank long")
     ranks = common.cut(ranks, "ranks")
