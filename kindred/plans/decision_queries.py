@@ -13,6 +13,7 @@ from ..operators import assign, blocking, candidates, metrics, models, profile,
 from ..sources import readers, writers
 from ..streaming import replay
 from . import pipelines, sql
+from .link_queries import _bm25_sql, _tfidf_sql
 from .pair_queries import hybrid_candidates, main_features, party_pairs, party_sides, scored
 from .text_queries import sides
 
@@ -301,7 +302,20 @@ _GRIDSQL = f"""{_P}, {_BEST.format("scored")}, b AS (SELECT * FROM best WHERE rn
 _EXTEND = f"{_P}, {_V1}, found AS (SELECT query_id, s1_id FROM scored WHERE score >= 0.56)"
 _LAB = "lab AS (SELECT s.*, (t.s1_id IS NOT NULL)::INT AS is_match, CASE WHEN score >= 0.575 THEN 'hard_lexical' WHEN score >= 0.555 THEN 'hard_address' WHEN score >= 0.53 THEN 'same_country' ELSE 'random' END AS category FROM scored s LEFT JOIN truth t USING (query_id, s1_id))"
 _ROW = "SELECT query_id, s1_id, score FROM"
+
+
+def _recall_sql() -> str:
+    test = {"union": "least(br, tr) <= {}", "bm25": "br <= {}", "tfidf": "tr <= {}", "exact": "ex = 1"}
+    rows = [f"SELECT '{c}' AS channel, {k} AS k, round(avg(CASE WHEN {t.format(k)} THEN 1.0 ELSE 0.0 END), 6) AS recall FROM h" for c, t in test.items() for k in (1, 5, 10, 20, 50)]
+    rows.append("SELECT 'union', NULL, round(avg(CASE WHEN ex IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) FROM h")
+    return f"""{_P}, r AS (SELECT entity_id AS s1_id, business_name AS t FROM ref), q AS (SELECT entity_id AS query_id, business_name AS t FROM qry), {_bm25_sql(retrieval.MAIN, 3)}, {_tfidf_sql(20)},
+        ex AS (SELECT y.entity_id AS query_id, x.entity_id AS s1_id FROM (SELECT *, count(*) OVER (PARTITION BY business_address) AS c FROM ref) x JOIN qry y USING (business_address) WHERE c <= 30),
+        c AS (SELECT query_id, s1_id, max(e) AS ex, min(b) AS br, min(t) AS tr FROM (SELECT query_id, s1_id, 1 AS e, 999 AS b, 999 AS t FROM ex UNION ALL SELECT query_id, s1_id, 0, rank, 999 FROM bm UNION ALL SELECT query_id, s1_id, 0, 999, rank FROM tf) GROUP BY ALL),
+        h AS (SELECT t.*, ex, br, tr FROM truth t LEFT JOIN c USING (s1_id, query_id)) {" UNION ALL ".join(rows)}"""
+
+
 ORACLE = {
+    "a7_recall_at_k": _recall_sql(),
     "d_v1_main": f"{_P}, {_V1} {_ROW} predicted",
     "d_v1_all": f"{_P} {_ROW} scored WHERE score >= {ABS}",
     "d_v2_hybrid": f"{_P}, {_BEST.format('scored')} {_ROW} best WHERE rn = 1 AND score >= {ABS} AND ({_OK})",

@@ -221,15 +221,16 @@ def _minhash_sql() -> str:
 SELECT DISTINCT query_id, s1_id FROM qk JOIN (SELECT *, row_number() OVER (PARTITION BY band, k ORDER BY doc_id) AS rn FROM rk) x USING (band, k) WHERE rn <= 20"""
 
 
-def _tfidf_sql() -> str:
+def _tfidf_sql(k: int) -> str:
+    """Tables over ref and qry, the last of them tf."""
     pad = "' ' || w || ' '"
     grams = f"list_concat({', '.join(f'list_transform(range(1, length({pad}) - {n - 2}), lambda i: substr({pad}, i, {n}))' for n in (3, 4, 5))})"
     rows = lambda t, i: f"SELECT {i}, term, 1 + ln(count(*)) AS tf FROM (SELECT {i}, unnest({grams}) AS term FROM (SELECT entity_id AS {i}, unnest({sql.words('lower(business_name)')}) AS w FROM {t})) GROUP BY ALL"
     unit = lambda t, i: f"SELECT {i}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {i})) AS w FROM (SELECT {i}, term, tf * idf AS w FROM {t} JOIN idf USING (term))"
-    return f"""WITH {sql.PAIRS}, rt AS ({rows("ref", "s1_id")}), qt AS ({rows("qry", "query_id")}),
+    return f"""rt AS ({rows("ref", "s1_id")}), qt AS ({rows("qry", "query_id")}),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM ref)) / (1 + count(*))) + 1 AS idf FROM rt GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 100000),
-ru AS ({unit("rt", "s1_id")}), qu AS ({unit("qt", "query_id")}), s AS (SELECT query_id, s1_id, round(sum(ru.w * qu.w), 6) AS score FROM ru JOIN qu USING (term) GROUP BY ALL)
-SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM s WHERE score > {retrieval.FLOOR} QUALIFY rank <= {K}"""
+ru AS ({unit("rt", "s1_id")}), qu AS ({unit("qt", "query_id")}), ts AS (SELECT query_id, s1_id, round(sum(ru.w * qu.w), 6) AS score FROM ru JOIN qu USING (term) GROUP BY ALL),
+tf AS (SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM ts WHERE score > {retrieval.FLOOR} QUALIFY rank <= {k})"""
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -244,7 +245,7 @@ ORACLE = {
     "j4_bm25_main": f"{_S}, {_bm25_sql(retrieval.MAIN, K)} SELECT * FROM bm",
     "j4b_bm25_sieve": f"{_S}, {_bm25_sql(retrieval.SIEVE, K)} SELECT * FROM bm",
     "j4c_bm25_late": f"{_S}, {_bm25_sql(retrieval.LATE, K)} SELECT * FROM bm",
-    "j5_tfidf": _tfidf_sql(),
+    "j5_tfidf": f"WITH {sql.PAIRS}, {_tfidf_sql(K)} SELECT * FROM tf",
     "j6_minhash_lsh": _minhash_sql(),
     "j8_token": f"""{_S}, done AS (SELECT query_id FROM ({_trunc_sql("n", 20)}) GROUP BY 1 HAVING count(*) >= 3),
         rt AS (SELECT DISTINCT s1_id, doc_id, unnest(({_LONG.format(sql.words("n"))})[1:3]) AS k FROM r), qt AS (SELECT DISTINCT query_id, unnest(({_LONG.format(sql.words("n"))})[1:2]) AS k FROM q WHERE query_id NOT IN (SELECT query_id FROM done))
