@@ -66,24 +66,25 @@ def category() -> Column:
 def negatives(features: DataFrame, ratio: int = 8, seed: int = 42, label: str = "is_match", cat: str = "category") -> DataFrame:
     """All positives, and min(negatives, ratio * positives) negatives by quota of category, refilled from what is left, in hash order.
 
-    Features have query_id, s1_id, label and category. Without positives all rows come back. Ranks are over categories
-    and, for the refill, by hash over the rows that no quota took; counts travel as a one-row broadcast.
+    Features have query_id, s1_id, label and category; a pair is there once. Without positives all rows come back. The
+    driver sees counts by category; each quota is a limit in hash order, of which every task passes on only its least
+    rows, so no category is ranked as a whole.
     """
-    n = features.agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"), F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
-    x = features.withColumn("__h", F.md5(F.concat_ws(":", "query_id", "s1_id", F.lit(str(seed))).cast("binary"))).join(F.broadcast(n)).withColumn("__target", F.least("neg", ratio * F.col("pos")))
-    neg = x.where(F.col(label) != 1)
-    share = F.create_map(*(v for k, s in QUOTAS for v in (F.lit(k), F.lit(s))))
-    w = Window.partitionBy(cat).orderBy("__h", "query_id", "s1_id")
-    ranked = neg.withColumn("__r", F.row_number().over(w)).withColumn("__took", F.col("__r") <= F.floor(F.col("__target") * share[F.col(cat)] + 1e-9))
-    taken = ranked.where("__took")
-    short = taken.agg(F.count("*").alias("__got"))
-    # the refill is a threshold on the hash: the missing number of least hashes among the rest, found by a limit and not by a global rank
-    rest = ranked.where("NOT __took")
-    missing = n.join(F.broadcast(short)).select((F.least("neg", ratio * F.col("pos")) - F.col("__got")).alias("m")).first().m
-    refill = rest.orderBy("__h", "query_id", "s1_id").limit(max(0, int(missing)))
-    none = x.where((F.col("pos") == 0) & (F.col(label) != 1))
-    kept = x.where(F.col(label) == 1).select(*features.columns).unionByName(taken.unionByName(refill).select(*features.columns))
-    return kept.unionByName(none.select(*features.columns))
+    counts = {(r.y, r.c): r.n for r in features.groupBy((F.col(label) == 1).alias("y"), F.col(cat).alias("c")).agg(F.count("*").alias("n")).collect()}
+    pos, neg = (sum(n for (y, _), n in counts.items() if bool(y) == one) for one in (True, False))
+    if not pos:
+        return features
+    target = min(neg, ratio * pos)
+    hashed = features.where(F.col(label) != 1).withColumn("__h", F.md5(F.concat_ws(":", "query_id", "s1_id", F.lit(str(seed))).cast("binary")))
+    order = ["__h", "query_id", "s1_id"]
+    quotas = {c: min(counts.get((False, c), 0), int(target * share + 1e-9)) for c, share in QUOTAS}
+    taken = hashed.limit(0)
+    for c, n in quotas.items():
+        if n:
+            taken = taken.unionByName(hashed.where(F.col(cat) == c).orderBy(*order).limit(n))
+    missing = target - sum(quotas.values())
+    refill = hashed.join(taken.select("query_id", "s1_id"), ["query_id", "s1_id"], "left_anti").orderBy(*order).limit(missing)
+    return features.where(F.col(label) == 1).unionByName(taken.unionByName(refill.select(*taken.columns)).select(*features.columns))
 
 
 def triplets(candidates: DataFrame, truth: DataFrame, seed: int = 42) -> DataFrame:
