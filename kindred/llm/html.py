@@ -4,8 +4,9 @@ A page is cut into blocks (text between block-level tags), each with its root-to
 table parts are closed as HTML says. Blocks under tags or names of furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are out. Over the others, text length and punctuation are added up by
 path and divided by the path's number of blocks; both ratios are smoothed along the page's paths, fused by multiplication,
-and paths of at least SHARE of the greatest fused ratio hold content. The content node is the deepest one that has most
-of the content paths' text; all blocks below it are the main text, short ones too.
+and paths of at least SHARE of the greatest fused ratio hold content. The content node is the lowest common ancestor of all
+their blocks, of every article, any h1 and the heading before them, or the nearest article or main around it; all blocks below it are
+the main text, short ones too.
 
 Null or empty html, or none but furniture: empty text, n_chars 0. Repeated rows, null ids: a result row each.
 """
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARE, MOST = 0.15, 0.6
+SHARE = 0.15
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: HTML's own lists.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select option button object canvas audio video".split())
@@ -47,7 +49,7 @@ def _named(attrs: str, tag: str) -> bool:
     for m in _NAME.finditer(attrs):
         parts = [x.lower() for x in _PART.findall(m[2] or m[3] or m[4] or "")]
         words = {x for before, x in zip(["", *parts], parts) if before not in RELATION}  # has-sidebar is no sidebar
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in HEADINGS:
             words -= {"header", "masthead", "banner"}
         if words & NAMES:
             return True
@@ -128,6 +130,21 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str]]:
     return out
 
 
+def _root(found: list[tuple[tuple[int, ...], str, str]], content: set[str]) -> int | None:
+    """The deepest node above all content, articles and headings of it, or the article or main around that; None: the whole page."""
+    line: list[tuple[int, str]] | None = None
+    first = next(i for i, x in enumerate(found) if x[1] in content)
+    before = next((i for i in range(first, -1, -1) if found[i][1].split("/")[-1] in HEADINGS), None)
+    for i, (nodes, path, _) in enumerate(found):
+        tags = path.split("/")
+        if path in content or i == before or tags[-1] == "h1" or "article" in tags:
+            own = list(zip(nodes, tags))
+            if tags[-1] not in KEPT:  # a block's own element is a leaf
+                own = own[:-1]
+            line = own if line is None else [x for x, y in zip(line, own) if x == y]
+    return next((x for x, tag in reversed(line) if tag in ("article", "main")), line[-1][0] if line else None)
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
@@ -144,15 +161,7 @@ def main_text(page: str | None) -> str:
     smooth = [[(r[max(0, i - 1)] + 2 * r[i] + r[min(len(r) - 1, i + 1)]) / 4 for i in range(len(r))] for r in ratio]
     fused = {p: a * (1 + b) * (4 if {"article", "main"} & set(p.split("/")) else 1) for p, a, b in zip(paths, *smooth)}
     content = {p for p in paths if fused[p] >= SHARE * max(fused.values())}
-    weight: dict[int, int] = {}
-    total = 0
-    for nodes, path, text in found:
-        if path in content:
-            own = len(text) * (4 if {"article", "main"} & set(path.split("/")) else 1)
-            total += own
-            for x in nodes[:-1]:  # a block's own element is a leaf
-                weight[x] = weight.get(x, 0) + own
-    chosen = max((x for x, n in weight.items() if n >= MOST * total), default=None)  # later nodes lie deeper
+    chosen = _root(found, content)
     return "\n".join(text for nodes, _, text in found if chosen is None or chosen in nodes)
 
 

@@ -272,6 +272,25 @@ def test_articles_of_pages(spark, small):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+LINE = "<p>" + "A line of text, of some length, and a stop. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><h1>Title</h1><div>{LINE * 20}</div></article>",
+        f"<div class=post><h2>Title</h2><p>By N.</p><div class=body>{LINE * 20}</div></div>",
+        f"<article><section>{LINE * 13}</section><section>{LINE * 7}</section></article>",
+        f"<div><div><section><h2>A</h2>{LINE * 13}</section></div><div><section><h2>B</h2>{LINE * 7}</section></div></div>",
+        f"<main><h1>Title</h1><article><div><div>{LINE * 9}</div></div><div><ul><li>x<li>y</ul></div></article></main>",
+        f"<article>Text, of its own.<p>b</p></article><article><div>{LINE * 5}</div></article>",
+    ],
+)
+def test_main_text_keeps_all_but_furniture(page):
+    want = [text for _, _, text in html.blocks(page)]
+    assert html.main_text(f"<body><nav>m, n.</nav>{page}<footer>f, g.</footer></body>") == "\n".join(want) and len(want) > 1
+
+
 # 7
 
 
