@@ -12,7 +12,8 @@ the places. Against it stand
   chi-squared: the statistic against a uniform alphabet, under the null approximately normal with the moments of a
                non-central chi-squared; a random token's is far below it
   runs:        the runs of character classes; a random token has far more
-A token must stand out in both, so the lesser z value counts; exp(-z*z/2)/2 bounds its p-value from above. A token whose serial
+A token must stand out in both: the two z values are added by Stouffer's rule if both reach GUARD (low for the smaller
+alphabets, whose short tokens leave the chi-squared test little to see). exp(-z*z/2)/2 bounds the p-value from above. A token whose serial
 correlation is off zero by over 3 standard errors (counting sequences, repeated patterns) is not random and gets p = 1.
 Benjamini-Hochberg at level FDR then runs within each band of lengths, over all tokens of the corpus, on p-values binned
 upwards by quarters of a decade: what is counted is a table of at most a few hundred rows, whatever the corpus.
@@ -34,7 +35,9 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 FDR, BANDS, TOP_BIN = 0.01, (28, 40, 64), 200
 #: k times the sum of squared symbol shares of writing, less 1, by alphabet; share of places at which classes change in it.
-UNEVEN, CHANGE = {16: 0.6, 32: 1.1, 64: 3.0}, 0.2
+UNEVEN, CHANGE = {16: 0.6, 32: 1.1, 64: 3.0}, {16: 0.1, 32: 0.05, 64: 0.2}
+#: What each test's z value must reach for their sum to count.
+GUARD = {16: 0.5, 32: 0.5, 64: 2.5}
 MASK = "[SECRET]"
 
 
@@ -76,13 +79,15 @@ def _score(t: Column) -> Column:
     squares = F.aggregate(F.array_distinct(F.split(t, "")), F.lit(0.0), lambda a, c: a + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0)))
     z_chi = (k - 1 + n * uneven - (k * squares / n - n)) / F.sqrt(2 * (k - 1) + 4 * n * uneven)
     runs = F.size(F.split(t, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_=-])(?=[A-Za-z0-9])")) - 1
-    z_runs = (runs - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+    change = F.when(k == 16, F.lit(CHANGE[16])).when(k == 32, F.lit(CHANGE[32])).otherwise(F.lit(CHANGE[64]))
+    z_runs = (runs - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
     v = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
     spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     lagged = F.aggregate(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
     serial = F.when(spread == 0, F.lit(99.0)).otherwise(F.abs(lagged / spread + 1 / n) * F.sqrt(n))
-    z = F.least(z_chi, z_runs)
+    guard = F.when(k == 64, F.lit(GUARD[64])).when(k == 32, F.lit(GUARD[32])).otherwise(F.lit(GUARD[16]))
+    z = F.when(F.least(z_chi, z_runs) >= guard, (z_chi + z_runs) / F.sqrt(F.lit(2.0))).otherwise(F.lit(0.0))
     tens = F.when((z <= 0) | (serial > 3), F.lit(0.0)).otherwise((z * z / 2 + F.log(F.lit(2.0))) / F.log(F.lit(10.0)))
     band = F.when(n < BANDS[0], 0).when(n < BANDS[1], 1).when(n < BANDS[2], 2).otherwise(3)
     return F.struct(band.alias("band"), F.least(F.floor(tens * 4), F.lit(TOP_BIN)).cast("int").alias("bin"))

@@ -121,6 +121,18 @@ def test_secrets_battery(spark):
     assert all(texts[i][s.start : s.end] == keys[i] for i in range(30) for s in got[i])
 
 
+@pytest.mark.parametrize("size", [24, 32, 40])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_secrets_battery_by_alphabet(spark, alphabet, size):
+    rng = random.Random(size)
+    keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(200)]
+    words = "THE REPORT OF DECADE FACADE ANNUAL MEETING BOARD WAS ACCEDED INTERNATIONAL CHAPTER ABOUT FIGURE TWENTY".split()
+    tame = ["".join(rng.choice(words) for _ in range(9))[: size - 2] + rng.choice(["24", "57", "GO"]) for _ in range(100)] + ["FACADEDECADEACCEDEDBEADED", "20250417093000202504170930", "ABCDEFABCDEFABCDEFABCDEF", "00000000000000000000FFFF"]
+    df = spark.createDataFrame(list(enumerate(f"see {k} there" for k in keys + tame)), "doc_id long, text string")
+    got = {r.doc_id for r in secrets.with_spans(df).collect() if any(s.kind == 3 for s in r["__spans"])}
+    assert len([i for i in got if i < 200]) >= 170 and len([i for i in got if i >= 200]) <= 2
+
+
 def test_secrets_redacted(spark):
     df = spark.createDataFrame([(1, "a token=abcdef and AKIA" + "A" * 16 + " z", "en", "s", 9), (2, None, None, None, None), (3, "clean", "en", "s", 5)], DOC)
     got = rows(secrets.stage(spark, df, ""))
