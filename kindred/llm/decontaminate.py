@@ -99,7 +99,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     yield rows
 
 
-def _scan(key: str, items, n: int, spans: bool):
+def _scan(key: str, items, n: int, spans: bool, keys: tuple[str, ...] = ("__id",)):
     def run(batches):
         made = automaton(key, items.value, n)
         names = [i for i, _ in items.value]
@@ -113,8 +113,8 @@ def _scan(key: str, items, n: int, spans: bool):
                 out["items"].append(sorted({names[i] for i in who}))
                 out["spans"].append([x for r in original_spans(text, ranges) for x in r] if spans and ranges else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(out["n_words"], pa.int64()), *(pa.array(out[k], pa.list_(pa.int32())) for k in ("ranges",)), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.int32()))],
-                names=["__id", "n_words", "ranges", "items", "spans"],
+                [*(batch.column(k) for k in keys), pa.array(out["n_words"], pa.int64()), *(pa.array(out[k], pa.list_(pa.int32())) for k in ("ranges",)), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.int32()))],
+                names=[*keys, "n_words", "ranges", "items", "spans"],
             )
 
     return run
@@ -127,26 +127,23 @@ def _key(items: list[tuple[str, str]], n: int) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N_WORDS, spans: bool = False) -> DataFrame:
     """Per row of docs: id, n_words, ranges (word ranges hit, flat pairs), items (ids), spans (code-point spans, flat pairs, if asked for).
 
-    With a benchmark of several blocks the documents are scanned once for each block and rows are put together by id and
-    text hash; such rows that are alike are one row then. No other column of docs is read.
+    With a benchmark of several blocks the rows are numbered in a table of the shared folder, scanned once for each block,
+    and put together by number, so each row stays a row. No other column of docs is read.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    parts = []
-    for items in blocks(benchmark, item_col, item_text_col, n):
-        sent = spark.sparkContext.broadcast(items)
-        src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        schema = f"__id {dict(src.dtypes)['__id']}, n_words long, ranges array<int>, items array<string>, spans array<int>"
-        parts.append((src, _scan(_key(items, n), sent, n, spans), schema))
+    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    schema = f"__id {dict(src.dtypes)['__id']}, n_words long, ranges array<int>, items array<string>, spans array<int>"
+    parts = [(_key(items, n), spark.sparkContext.broadcast(items)) for items in blocks(benchmark, item_col, item_text_col, n)]
     if len(parts) == 1:
-        src, run, schema = parts[0]
-        return src.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+        return src.mapInArrow(_scan(*parts[0], n, spans), schema).withColumnRenamed("__id", id_col)
+    numbered = common.cut(src.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     whole = None
-    for src, run, schema in parts:
-        got = src.mapInArrow(run, schema)
-        whole = got if whole is None else whole.unionByName(got)
-    flat = whole.groupBy("__id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return flat.mapInArrow(_merge, schema).withColumnRenamed("__id", id_col)
+    for key, sent in parts:
+        got = numbered.mapInArrow(_scan(key, sent, n, spans, ("__row", "__id")), f"__row long, {schema}")
+        whole = got if whole is None else whole.unionByName(got.where(F.size("items") > 0))
+    flat = whole.groupBy("__row").agg(F.first("__id").alias("__id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return flat.drop("__row").mapInArrow(_merge, schema).withColumnRenamed("__id", id_col)
 
 
 def merged(flat: list[int]) -> list[int]:

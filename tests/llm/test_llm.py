@@ -206,6 +206,15 @@ def test_decontamination_blocks_and_spans(spark, monkeypatch, block):
     assert got[4].n_words == 0
 
 
+@pytest.mark.parametrize("block", [10**9, 200])
+def test_decontamination_keeps_rows_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    items = spark.createDataFrame([(i, f"w{i} x{i} y{i}") for i in range(20)], "item_id long, text string")
+    docs = [(None, "w1 x1 y1 a"), (None, "b"), (None, None), (1, "w2 x2 y2"), (1, "w2 x2 y2"), (1, "c c w19 x19 y19 w0 x0 y0")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted(str((r.doc_id, r.n_words, r.ranges, r["items"])) for r in got) == sorted(map(str, [(None, 4, [0, 3], ["1"]), (None, 1, [], []), (None, 0, [], []), (1, 3, [0, 3], ["2"]), (1, 3, [0, 3], ["2"]), (1, 8, [2, 5, 5, 8], ["0", "19"])]))
+
+
 def test_decontamination_stage(spark, tmp_path):
     d = save(tmp_path, benchmark=spark.createDataFrame([(1, "to read today my friend")], "item_id long, text string"))
     kept = decontaminate.stage(spark, odd(spark), d)
