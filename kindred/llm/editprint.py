@@ -166,17 +166,20 @@ def _verify(least: float):
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR, rows: int = BAND_ROWS) -> DataFrame:
     """(id, class_id) of every row with an id; rows whose fingerprints share a band of samples and are alike by `least` or more link.
 
-    Rows of equal fingerprints are one node. A band's bucket of over `rows` nodes is dealt into slices of about that many by
-    a second band, and each slice links to the bucket's least node if alike, so no task holds more than one slice.
+    Rows of equal fingerprints are one node. A band's bucket of over `rows` nodes is dealt into slices of about that many;
+    each two slices meet in a task of their own, which gives out the edges of a forest only, so every pair is compared and
+    no task holds more than two slices.
     """
     fps = common.cut(fingerprints(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()), "fingerprints")
     own = common.cut(fps.groupBy("fingerprint").agg(F.min(id_col).cast("long").alias("node")), "nodes")
     banded = own.mapInArrow(_banded, "key string, at int, node long, fingerprint string")
-    size = common.cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint")).alias("first")).where("n > 1"), "bands")
+    size = common.cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     held = banded.join(size, "key")
-    slices = F.when(F.col("n") > rows, F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("n") / rows))).otherwise(0)
-    groups = held.groupBy("key", slices.alias("s")).agg(F.collect_list(F.struct("node", "fingerprint")).alias("m"), F.any_value("first").alias("f"))
-    edges = groups.select(F.array_distinct(F.concat("m", F.array("f"))).alias("m")).mapInArrow(_verify(least), "u long, v long")
+    k = F.ceil(F.col("n") / rows).cast("int")
+    own_slice = F.pmod(F.xxhash64("fingerprint"), k).cast("int")
+    others = F.transform(F.filter(F.sequence(F.lit(0), k - 1), lambda x: (x != own_slice) | (k == 1)), lambda x: F.struct(F.least(x, own_slice).alias("a"), F.greatest(x, own_slice).alias("b")))
+    groups = held.select("key", "node", "fingerprint", F.explode(others).alias("s")).groupBy("key", "s").agg(F.collect_list(F.struct("node", "fingerprint")).alias("m"))
+    edges = groups.select("m").mapInArrow(_verify(least), "u long, v long")
     root = components(edges, fps.count()).withColumnRenamed("root", "class_id")
     named = own.join(root, "node", "left").select("fingerprint", F.coalesce("class_id", "node").alias("class_id"))
     return fps.join(named, "fingerprint").select(id_col, "class_id")

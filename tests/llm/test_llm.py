@@ -483,6 +483,24 @@ def test_editprint_classes(spark):
         assert {i: r.class_id for i, r in got.items()} == {i: i % 4 for i in range(16)}
 
 
+def test_editprint_classes_of_a_large_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    made = []
+    for c in range(5):
+        base = rng.integers(0, 256, editprint.BINS, dtype=np.uint8)
+        base[:4] = 7  # one band for all; others differ by member
+        for j in range(5):
+            fp = base.copy()
+            fp[4::4] = j
+            fp[5::4] = c
+            made.append((5 * c + j, fp.tobytes().hex()))
+    prints = spark.createDataFrame(made, "doc_id long, fingerprint string")
+    monkeypatch.setattr(editprint, "fingerprints", lambda docs, **_: prints)
+    for limit in (editprint.BAND_ROWS, 2):
+        got = rows(editprint.near_classes(prints, rows=limit))
+        assert {i: r.class_id for i, r in got.items()} == {i: i // 5 * 5 for i in range(25)}
+
+
 # 10
 
 
