@@ -235,8 +235,9 @@ def _windows(held) -> pa.RecordBatch:
     w = np.empty(sum(len(x[0]) for x in held), dtype=_WINDOW)
     w["rank"], w["id"], w["pos"] = (np.concatenate(x) for x in zip(*held))
     w = w[np.lexsort((w["pos"], w["id"], w["rank"]))]
-    later = np.concatenate([[False], w["rank"][1:] == w["rank"][:-1]])
-    firsts = w[~later]
+    same = np.concatenate([[False], w["rank"][1:] == w["rank"][:-1]])
+    later = same & np.concatenate([[False], w[1:] != w[:-1]])  # a repeated row's window is the same one again
+    firsts = w[~same]
     bucket = (firsts["rank"] >> np.uint64(54)).astype(np.int64)
     at = np.searchsorted(bucket, np.arange(_WINDOW_BUCKETS + 1))
     some = np.flatnonzero(np.diff(at))
@@ -294,7 +295,8 @@ def _later_windows(length: int):
         where = np.repeat(np.array(pos, dtype=np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
         who = np.repeat(np.array(i, dtype=np.int64), n)
         order = np.lexsort((where, who, rank))
-        later = order[1:][rank[order[1:]] == rank[order[:-1]]]
+        a, b = order[1:], order[:-1]
+        later = a[(rank[a] == rank[b]) & ((who[a] != who[b]) | (where[a] != where[b]))]  # a repeated row's window is the same one again
         later = later[np.lexsort((where[later], who[later]))]
         return _spans(who[later], where[later], length)
 
@@ -329,7 +331,7 @@ def _later_packed(length: int):
         for parts in held.values():
             w = np.frombuffer(b"".join(parts), dtype=_WINDOW)
             w = w[np.lexsort((w["pos"], w["id"], w["rank"]))]
-            w = w[1:][w["rank"][1:] == w["rank"][:-1]]
+            w = w[1:][(w["rank"][1:] == w["rank"][:-1]) & (w[1:] != w[:-1])]
             w = w[np.lexsort((w["pos"], w["id"]))]
             yield _spans(w["id"], w["pos"], length)
 

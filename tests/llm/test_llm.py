@@ -172,6 +172,19 @@ def test_repeats(spark, small, monkeypatch, length, hot):
     assert got == repeats_plain(docs, length)
 
 
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_repeated_rows_are_first_holders(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = part(300)
+    docs = [{"doc_id": 1, "text": part(200) + shared + part(200)}] + [{"doc_id": i, "text": part(90) + shared + part(90)} for i in (2, 3, 4)]
+    df = spark.createDataFrame([(x["doc_id"], x["text"]) for x in [docs[0], *docs]], "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in repeats.remove_repeats(df).collect()]
+    want = repeats_plain(docs, 100)
+    assert sorted(got) == sorted([(1, want[1]), *want.items()]) and want[1][1] == 0
+
+
 def test_repeats_over_segments(spark, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(repeats, "SEGMENT", 64)
