@@ -1,11 +1,14 @@
 """License scans in DataFrame functions only: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are a text's lines. Those with any word of licensing (GATE) are candidates; each is cut into words, and its distinct
+Paragraphs are runs of lines up to one without letters or digits. Units are the lines, and of a paragraph of several lines
+the sentences that cross a line's end and the whole. Those with any word of licensing (GATE) are candidates; each is cut into words, and its distinct
 word n-grams (1 to MAX_N) meet the classifier's weights in a broadcast join, bounded by the templates below. The classifier
 is a sparse multinomial logistic regression over licence families and an unknown class, fitted on the driver in numpy
 from the templates, variations of them, and negatives; a temperature fitted on variations set aside calibrates it. A
-family of probability MIN_P or more must then be confirmed: some template of the family has MIN_SHARE of its word pairs in
-the paragraph. What the classifier or the templates turn down counts as unknown.
+family of probability MIN_P or more must then be confirmed: MIN_SHARE of the word pairs of some template of the family, or all
+of a short name's, are in the unit, or MOST_SHARE of the unit's pairs (MIN_PAIRS or more) are in some template. What the
+classifier or the templates turn down counts as unknown. Of hits of one family that overlap, the least that holds a whole
+template stays, or else the largest.
 
 Null or empty texts: nothing found. Repeated rows, null ids: a result row each. An empty table: empty result. Extra columns are
 not read.
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_N, MIN_P, MIN_SHARE, SEED = 3, 0.5, 0.6, 8
-GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|warrant|redistribut|permission|public\s+domain|creative\s+commons|\bcc0?[ -](?:by|0|1)|\b[al]?gpl\b|proprietary|rights\s+reserved"
+MAX_N, MIN_P, MIN_SHARE, MOST_SHARE, MIN_PAIRS, SEED = 3, 0.5, 0.6, 0.8, 5, 8
+GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|warrant|redistribut|permission|public\s+domain|creative\s+commons|\bcc0?[ -](?:by|0|1)|\b[al]?gpl(?:v?\d|\b)|\bmpl\b|source\s+code\s+form|proprietary|rights\s+reserved"
 #: Usual notices by family.
 TEMPLATES = {
     "mit": [
@@ -75,6 +78,16 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+#: Short names; all their word pairs must be there.
+NAMES = {
+    "mit": ["MIT License"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License"],
+    "gpl": ["GNU General Public License", "GPL v3", "GPL v2"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL v3"],
+    "agpl": ["GNU Affero General Public License", "AGPL v3"],
+    "mpl-2.0": ["Mozilla Public License"],
+}
 #: Writing with words of licensing that names no licence.
 NEGATIVES = [
     "He lost his driving license last year and paid a fine.",
@@ -93,10 +106,12 @@ NEGATIVES = [
 ]
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[a-z0-9]+")
+_VERSION = r"gpl(?=v?[0-9])"
+PARAGRAPH, SENTENCE = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"(?<=[.!?:;])\s+(?=[^a-z0-9\s]{0,3}[A-Z])"
 
 
 def _grams(text: str, most: int = MAX_N) -> list[str]:
-    w = _WORD.findall(text.lower())
+    w = _WORD.findall(re.sub(_VERSION, "gpl ", text.lower()))
     return list(dict.fromkeys(" ".join(w[i : i + n]) for n in range(1, most + 1) for i in range(len(w) - n + 1)))
 
 
@@ -121,7 +136,7 @@ def fit() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
     classes = [*TEMPLATES, UNKNOWN]
     sets: tuple[list, list] = ([], [])
     for y, name in enumerate(TEMPLATES):
-        for text in TEMPLATES[name]:
+        for text in [*TEMPLATES[name], *NAMES.get(name, [])]:
             for i, v in enumerate(_variations(text, rng, 12)):
                 sets[i % 4 == 3].append((v, y))
     unknown = len(classes) - 1
@@ -130,7 +145,7 @@ def fit() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
     for text in [*NEGATIVES, *made]:
         for i, v in enumerate(_variations(text, rng, 3)):
             sets[i % 4 == 3].append((v, unknown))
-    vocabulary = {g: i for i, g in enumerate(sorted({g for v, _ in sets[0] for g in _grams(v)} & {g for t in [*NEGATIVES, *made, *(x for ts in TEMPLATES.values() for x in ts)] for g in _grams(t)}))}
+    vocabulary = {g: i for i, g in enumerate(sorted({g for v, _ in sets[0] for g in _grams(v)} & {g for t in [*NEGATIVES, *made, *(x for d in (TEMPLATES, NAMES) for ts in d.values() for x in ts)] for g in _grams(t)}))}
 
     def matrix(rows):
         x = np.zeros((len(rows), len(vocabulary)))
@@ -152,16 +167,28 @@ def fit() -> tuple[list[str], dict[str, np.ndarray], np.ndarray]:
     return classes, {g: w[i] / t for g, i in vocabulary.items()}, b / t
 
 
-def paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Candidate lines of the rows (with columns __row and text): __row, start, end (code points), line."""
-    text = F.col(text_col)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
+_PARTS = "array<struct<start:int,line:string>>"
+
+
+def _cut(text, sep: str, begin):
+    """Parts of text between matches of sep that pass the gate, with their starts (code points, from begin on)."""
+    parts = F.arrays_zip(F.split(text, sep, -1).alias("p"), F.regexp_extract_all(text, F.lit(sep), F.lit(0)).alias("s"))
+    none = F.struct(begin.alias("at"), F.array().cast(_PARTS).alias("out"))
 
-    def step(a, line):
-        more = F.when(line.rlike(GATE), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), line.alias("line"))))).otherwise(a["out"])
-        return F.struct((a["at"] + F.length(line) + 1).alias("at"), more.alias("out"))
+    def step(a, x):
+        more = F.when(x["p"].rlike(GATE), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x["p"].alias("line"))))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["s"]), F.lit(0))).alias("at"), more.alias("out"))
 
-    found = docs.where(text.rlike(GATE)).select("__row", F.explode(F.aggregate(F.split(text, "\n", -1), none, step)["out"]).alias("p"))
+    return F.aggregate(parts, none, step)["out"]
+
+
+def paragraphs(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Candidates of the rows (with columns __row and text): __row, start, end (code points), line."""
+    text = F.col(text_col)
+    whole = docs.where(text.rlike(GATE)).select("__row", F.explode(_cut(text, PARAGRAPH, F.lit(0))).alias("p")).select("__row", F.col("p.start").alias("at"), F.col("p.line").alias("part"))
+    wide = F.filter(_cut(F.col("part"), SENTENCE, F.col("at")), lambda x: x["line"].contains("\n"))
+    all_of = F.array_distinct(F.concat(_cut(F.col("part"), "\n", F.col("at")), wide, F.array(F.struct(F.col("at").alias("start"), F.col("part").alias("line")))))
+    found = whole.select("__row", F.explode(all_of).alias("p"))
     return found.select("__row", "p.start", (F.col("p.start") + F.length("p.line")).alias("end"), "p.line")
 
 
@@ -170,24 +197,38 @@ def _ngrams(words, n: int):
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(__row, start, end, family, p) of each candidate line; family is `unknown` where the classifier or templates turn it down."""
+    """(__row, start, end, family, p, single, full) of each candidate; family is `unknown` where the classifier or templates turn it down.
+
+    single: it is one line; full: it holds a template of the family.
+    """
     spark = docs.sparkSession
     classes, weights, bias = fit()
-    table = F.broadcast(spark.createDataFrame([(g, w.tolist()) for g, w in weights.items()], "gram string, w array<double>"))
-    pairs = F.broadcast(spark.createDataFrame([(k, [_grams(t, 2)[len(_grams(t, 1)) :] for t in ts]) for k, ts in TEMPLATES.items()], "family string, templates array<array<string>>"))
-    words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))
-    cand = paragraphs(docs, text_col).withColumn("words", words).withColumn("n", F.size("words"))
+    of: dict[str, list[int]] = {}
+    known: dict[str, list[tuple[int, int, float]]] = {}
+    for least, given in ((MIN_SHARE, TEMPLATES), (1.0, NAMES)):
+        for k, t in ((k, t) for k, ts in given.items() for t in ts):
+            pairs = _grams(t, 2)[len(_grams(t, 1)) :]
+            at = sum(map(len, known.values()))
+            known.setdefault(k, []).append((at, len(pairs), least))
+            for g in pairs:
+                of.setdefault(g, []).append(at)
+    table = F.broadcast(spark.createDataFrame([(g, w.tolist(), of.get(g, [])) for g, w in weights.items()], "gram string, w array<double>, t array<int>"))
+    templates = F.broadcast(spark.createDataFrame(list(known.items()), "family string, templates array<struct<t:int,size:int,least:double>>"))
+    words = F.regexp_extract_all(F.regexp_replace(F.lower("line"), _VERSION, "gpl "), F.lit("[a-z0-9]+"), F.lit(0))
+    cand = paragraphs(docs, text_col).withColumn("words", words).withColumn("n", F.size("words")).withColumn("single", ~F.col("line").contains("\n"))
     grams = F.concat(*(F.when(F.col("n") >= n, _ngrams(F.col("words"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, MAX_N + 1)))
-    cand = cand.withColumn("pairs", F.when(F.col("n") >= 2, F.array_distinct(_ngrams(F.col("words"), 2))).otherwise(F.array().cast("array<string>")))
-    one = cand.select("__row", "start", "end", "pairs", F.explode_outer(F.array_distinct(grams)).alias("gram")).join(table, "gram", "left")
-    key = ["__row", "start", "end"]
-    sums = one.groupBy(*key).agg(F.first("pairs").alias("pairs"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(len(classes))))
+    cand = cand.withColumn("n_pairs", F.when(F.col("n") >= 2, F.size(F.array_distinct(_ngrams(F.col("words"), 2)))).otherwise(0))
+    one = cand.select("__row", "start", "end", "single", "n_pairs", F.explode_outer(F.array_distinct(grams)).alias("gram")).join(table, "gram", "left")
+    key = ["__row", "start", "end", "single", "n_pairs"]
+    sums = one.groupBy(*key).agg(F.flatten(F.collect_list("t")).alias("hits"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"z{i}") for i in range(len(classes))))
     z = F.array(*(F.round(F.col(f"z{i}") + float(bias[i]), 9) for i in range(len(classes))))
-    best = sums.select(*key, "pairs", z.alias("z")).withColumn("top", F.array_max("z"))
-    judged = best.select(*key, "pairs", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("p"))
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    confirmed = judged.join(pairs, "family", "left")
-    return confirmed.select(*key, F.when((F.col("p") >= MIN_P) & (share >= MIN_SHARE), F.col("family")).otherwise(UNKNOWN).alias("family"), "p")
+    best = sums.select(*key, "hits", z.alias("z")).withColumn("top", F.array_max("z"))
+    judged = best.select(*key, "hits", F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("p"))
+    met = lambda x: F.size(F.filter("hits", lambda h: h == x["t"]))
+    full = F.coalesce(F.exists("templates", lambda x: met(x) >= x["least"] * x["size"]), F.lit(False))
+    inside = F.coalesce((F.col("n_pairs") >= MIN_PAIRS) & F.exists("templates", lambda x: met(x) >= MOST_SHARE * F.col("n_pairs")), F.lit(False))
+    confirmed = judged.join(templates, "family", "left").withColumn("full", full).withColumn("inside", inside)
+    return confirmed.select("__row", "start", "end", F.when((F.col("p") >= MIN_P) & (F.col("full") | F.col("inside")), F.col("family")).otherwise(UNKNOWN).alias("family"), "p", "single", "full")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,9 +238,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     known = F.col("family") != UNKNOWN
     by = found.groupBy("__row").agg(
         F.array_sort(F.collect_set(F.when(known, F.col("family")))).alias("names"),
-        F.array_sort(F.collect_list(F.when(known, F.struct("start", "end", "family")))).alias("at"),
-        F.count(F.when(~known, 1)).alias("n_unknown"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("start", "end", "family", "full")))).alias("at"),
+        F.collect_list(F.when(~known & F.col("single"), F.struct("start", "end"))).alias("others"),
     )
+    within = lambda x, y: (x["start"] >= y["start"]) & (x["end"] <= y["end"])
+    inner = lambda x, y: within(x, y) & (x["end"] - x["start"] < y["end"] - y["start"]) & (x["family"] == y["family"])
+    by = by.withColumn("at", F.filter("at", lambda h: ~F.exists("at", lambda g: g["full"] & inner(g, h))))
+    by = by.withColumn("at", F.filter("at", lambda h: ~F.exists("at", lambda g: inner(h, g))))
+    by = by.withColumn("n_unknown", F.size(F.filter("others", lambda x: ~F.exists("at", lambda h: within(x, h)))).cast("long"))
     none = F.coalesce(F.size("at"), F.lit(0))
     return (
         src.select("__id", "__row").join(by, "__row", "left")

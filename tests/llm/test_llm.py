@@ -444,6 +444,21 @@ def test_licence_templates_are_known():
             assert re.search(licences.GATE, t)
 
 
+@pytest.mark.parametrize(
+    ("family", "text"),
+    [
+        ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.'),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+        ("gpl", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("mit", "MIT License"), ("apache-2.0", "Apache License, Version 2.0"), ("bsd", "BSD 3-Clause License"), ("gpl", "GNU GENERAL PUBLIC LICENSE"), ("gpl", "Licensed under GPLv3"), ("gpl", "Released under GPLv3."),
+    ],
+)
+def test_licences_wrapped_and_named(spark, family, text):
+    got = licences.scan(spark.createDataFrame([(1, f"Some words.\n\n{text}\n\nMore words.")], "doc_id long, text string")).first()
+    assert got.licences == family
+
+
 # 9
 
 
