@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -106,3 +107,48 @@ def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bits = int(np.log2(len(bitmap))) + 5
     at = xx_long(keys) >> np.uint64(64 - bits)
     return ((bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
+# array expressions that stay linear in long texts
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
+def runs(items: Column) -> Column:
+    """An array that is not empty (bound by let) as an array of its runs of about the square root of its size."""
+    width = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / width).cast("int") - 1), lambda i: F.slice(items, i * width + 1, width))
+
+
+def befores(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Of each int of an array, the fold by op (of identity 0) of all that stand before it.
+
+    A fold that appends copies its array at every step; here it does so within runs of about the square root of the array only.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(xs: Column, head: Column) -> Column:
+        step = lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(xs, F.struct(head.alias("at"), none.alias("out")), step)["out"]
+
+    def whole(v: Column) -> Column:
+        return let(runs(v), lambda rs: F.flatten(F.zip_with(rs, within(F.transform(rs, lambda r: F.aggregate(r, F.lit(0), op)), F.lit(0)), within)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
+def pieces(text: Column, gaps: Column) -> Column:
+    """Substrings of text at an array (not empty) of structs (at, to) in ascending order, code points.
+
+    A substring is found by counting from its text's start, so each run of gaps is first cut out as a whole.
+    """
+
+    def of(run: Column) -> Column:
+        begin = run[0]["at"]
+        part = F.substring(text, begin + 1, F.element_at(run, -1)["to"] - begin)
+        return let(part, lambda x: F.transform(run, lambda g: F.substring(x, g["at"] - begin + 1, g["to"] - g["at"])))
+
+    return let(gaps, lambda g: F.flatten(F.transform(runs(g), of)))

@@ -47,15 +47,22 @@ def _places(text: Column, pattern: str, kind: int, keep=None, group: int | None
     judged = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(F.arrays_zip(found.alias("f"), judged.alias("g"), gaps.alias("s")).alias("z"), lambda x: F.struct(x["s"].alias("gap"), F.coalesce(F.length(x["f"]), F.lit(0)).alias("size"), x["g"].alias("g")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
+    def one(x: Column, before: Column) -> Column:
+        start = before + x["gap"]
         ok = x["g"].isNotNull() & (keep(x["g"]) if keep else F.lit(True))
-        return F.struct((start + x["size"]).alias("at"), F.when(ok, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), ok.alias("ok"))
 
-    return F.aggregate(sizes, empty, step)["out"]
+    placed = common.let(sizes, lambda z: F.zip_with(z, common.befores(F.transform(z, lambda x: x["gap"] + x["size"]), lambda a, x: a + x), one))
+    return F.transform(F.filter(placed, lambda x: x["ok"]), _span)
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _span(x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
 
 _NONE = "array<struct<start:int,kind:int,end:int>>"
@@ -73,22 +80,31 @@ def base_spans(text: Column) -> Column:
 
 def _score(t: Column) -> Column:
     """(band, bin) of a token: its band of lengths, and minus four times the decimal logarithm of its p-value, rounded down."""
-    n = F.length(t).cast("double")
-    k = F.when(t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(16.0)).when(t.rlike("^[A-Z2-7]+=*$"), F.lit(32.0)).otherwise(F.lit(64.0))
-    uneven = F.when(k == 16, F.lit(UNEVEN[16])).when(k == 32, F.lit(UNEVEN[32])).otherwise(F.lit(UNEVEN[64]))
-    squares = F.aggregate(F.array_distinct(F.split(t, "")), F.lit(0.0), lambda a, c: a + F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0)))
-    z_chi = (k - 1 + n * uneven - (k * squares / n - n)) / F.sqrt(2 * (k - 1) + 4 * n * uneven)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    squares = total(F.transform(F.array_distinct(F.split(t, "")), lambda c: F.pow(F.length(t) - F.length(F.replace(t, c, F.lit(""))), F.lit(2.0))))
     runs = F.size(F.split(t, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_=-])(?=[A-Za-z0-9])")) - 1
-    change = F.when(k == 16, F.lit(CHANGE[16])).when(k == 32, F.lit(CHANGE[32])).otherwise(F.lit(CHANGE[64]))
-    z_runs = (runs - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    v = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    lagged = F.aggregate(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
-    serial = F.when(spread == 0, F.lit(99.0)).otherwise(F.abs(lagged / spread + 1 / n) * F.sqrt(n))
-    guard = F.when(k == 64, F.lit(GUARD[64])).when(k == 32, F.lit(GUARD[32])).otherwise(F.lit(GUARD[16]))
-    z = F.when(F.least(z_chi, z_runs) >= guard, (z_chi + z_runs) / F.sqrt(F.lit(2.0))).otherwise(F.lit(0.0))
-    tens = F.when((z <= 0) | (serial > 3), F.lit(0.0)).otherwise((z * z / 2 + F.log(F.lit(2.0))) / F.log(F.lit(10.0)))
+    k = F.when(t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16).when(t.rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
+    codes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
+
+    def moments(v: Column) -> Column:
+        """About the mean: sum of squares, sum of products of neighbours."""
+        spread = lambda m: total(F.transform(v, lambda x: (x - m) * (x - m)))
+        lagged = lambda m: total(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda x, y: (x - m) * (y - m)))
+        return common.let(total(v) / F.size(v), lambda m: F.struct(spread(m).alias("spread"), lagged(m).alias("lagged")))
+
+    seen = F.struct(F.length(t).cast("double").alias("n"), k.alias("k"), squares.alias("squares"), runs.alias("runs"), common.let(codes, moments).alias("m"))
+    return common.let(seen, _judged)
+
+
+def _judged(a: Column) -> Column:
+    n, k = a["n"], a["k"]
+    of = lambda given: F.when(k == 16, float(given[16])).when(k == 32, float(given[32])).otherwise(float(given[64]))
+    uneven, change, guard = of(UNEVEN), of(CHANGE), of(GUARD)
+    z_chi = (k - 1 + n * uneven - (k * a["squares"] / n - n)) / F.sqrt(2 * (k - 1) + 4 * n * uneven)
+    z_runs = (a["runs"] - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+    serial = F.when(a["m"]["spread"] == 0, 99.0).otherwise(F.abs(a["m"]["lagged"] / a["m"]["spread"] + 1 / n) * F.sqrt(n))
+    z = F.when(F.least(z_chi, z_runs) >= guard, (z_chi + z_runs) / F.sqrt(F.lit(2.0))).otherwise(0.0)
+    tens = F.when((z <= 0) | (serial > 3), 0.0).otherwise((z * z / 2 + F.log(F.lit(2.0))) / F.log(F.lit(10.0)))
     band = F.when(n < BANDS[0], 0).when(n < BANDS[1], 1).when(n < BANDS[2], 2).otherwise(3)
     return F.struct(band.alias("band"), F.least(F.floor(tens * 4), F.lit(TOP_BIN)).cast("int").alias("bin"))
 
@@ -120,12 +136,26 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.withColumn("__base", F.array_sort(base_spans(text)))
     least = F.broadcast(cuts(docs, text_col).withColumnRenamed("least", "__least"))
-    clear = lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    passed = F.filter(tokens(text), lambda t: (t["s"]["bin"] >= F.element_at(F.col("__least"), t["s"]["band"] + 1)) & clear(t))
-    more = F.transform(passed, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    passed = F.filter(tokens(text), lambda t: t["s"]["bin"] >= F.element_at(F.col("__least"), t["s"]["band"] + 1))
+    random = F.transform(passed, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    more = common.let(random, lambda t: F.when((F.size(t) == 0) | (F.size("__base") == 0), t).otherwise(_clear(t, F.col("__base"))))
     return found.join(least).withColumn("__spans", F.array_sort(F.concat("__base", more))).drop("__least")
 
 
+def _clear(some: Column, others: Column) -> Column:
+    """Those of some spans that overlap none of the others; some do not overlap each other, and their kind number is greater."""
+    far = 2**31 - 1
+    is_some = lambda x: x["kind"] == KINDS.index("random")
+
+    def of(both: Column) -> Column:
+        reach = common.befores(F.transform(both, lambda x: F.when(is_some(x), 0).otherwise(x["end"])), _most)
+        ahead = F.reverse(common.befores(F.reverse(F.transform(both, lambda x: F.when(is_some(x), 0).otherwise(far - x["start"]))), _most))
+        seen = F.zip_with(F.zip_with(both, reach, lambda x, r: F.struct(*(x[k].alias(k) for k in ("start", "kind", "end")), r.alias("reach"))), ahead, lambda x, a: F.struct(*(x[k].alias(k) for k in ("start", "kind", "end", "reach")), (far - a).alias("ahead")))
+        return F.transform(F.filter(seen, lambda x: is_some(x) & (x["reach"] <= x["start"]) & (x["ahead"] >= x["end"])), _span)
+
+    return common.let(F.array_sort(F.concat(others, some)), of)
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -140,14 +170,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each maximal run of spans as MASK."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when((s["start"] >= a["at"]) | (a["at"] == 0), new).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    """text with each maximal run of overlapping spans as MASK; spans must not be empty."""
+    ends = common.befores(F.transform(spans, lambda s: s["end"]), _most)
+    gaps = F.filter(F.zip_with(spans, ends, lambda s, e: F.struct(e.alias("at"), s["start"].alias("to"))), lambda g: g["at"] <= g["to"])
+    last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("at"), F.length(text).alias("to"))
+    return F.array_join(common.pieces(text, F.concat(gaps, F.array(last))), MASK)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
