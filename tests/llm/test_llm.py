@@ -500,42 +500,105 @@ def test_licences_wrapped_and_named(spark, family, text):
 # 9
 
 
+def print_plain(t):
+    """A fingerprint by one step after another."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    sym, at, out = [mix(ord(c)) % 255 + 1 for c in t], 0, []
+    while at < len(sym):
+        out.append(sym[at])
+        at += int(editprint._BITS[(len(out) - 1) % 4096][sym[at]])
+    if not out:
+        return bytes(editprint.BINS)
+    got = bytearray()
+    for i in range(editprint.BINS):
+        place = max(int(p) for p in editprint._PLACES[i] if p < len(out))
+        h = (mix(i + 1) + place) & m
+        for k in range(editprint.BLOCK):
+            h = h * 0x100000001B3 & m ^ (out[place + k] if place + k < len(out) else 0)
+        got.append(mix(h) >> 56)
+    return bytes(got) if any(got) else b"\1" + bytes(editprint.BINS - 1)
+
+
+def alike_plain(a, b):
+    if any(a) and any(b):
+        return max(0.0, (sum(x == y for x, y in zip(a, b)) / len(a) - 1 / 256) / (1 - 1 / 256))
+    return float(not any(a) and not any(b))
+
+
+def classes_of_prints_plain(prints):
+    """Least id by fingerprint: links of all pairs that share a band and are alike enough; prints: fingerprint to least id."""
+    all_of = sorted(prints, key=prints.get)
+    root = {f: f for f in all_of}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, f in enumerate(all_of):
+        for g in all_of[:i]:
+            band = any(f[k : k + editprint.WIDTH] == g[k : k + editprint.WIDTH] for k in range(0, editprint.BANDS * editprint.WIDTH, editprint.WIDTH))
+            if band and alike_plain(f, g) >= editprint.NEAR:
+                x, y = sorted((find(f), find(g)), key=prints.get)
+                root[y] = x
+    return {f: prints[find(f)] for f in all_of}
+
+
 def test_editprint(spark, small):
     docs = sorted(documents(spark, small), key=lambda x: x["doc_id"])
     got = rows(registry.QUERIES["op9_document_fingerprints"](spark, small))
+    prints = {}
     for x, y in zip(docs, docs[1:] + docs[:1]):
-        t = x["text"] or ""
+        t, u = x["text"] or "", y["text"] or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + (y["text"] or "")[:half]
+        edited = t[: len(t) - half] + u[:half]
         r = got[x["doc_id"]]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.edited_fingerprint == editprint.embed([edited])[0].tobytes().hex() and r.fingerprint == editprint.embed([t])[0].tobytes().hex()
+        own = bytes.fromhex(r.fingerprint)
+        prints[own] = min(prints.get(own, x["doc_id"]), x["doc_id"])
+        if len(t) < 3000:
+            a, b, c = map(print_plain, (t, edited, u))
+            assert (own, bytes.fromhex(r.edited_fingerprint)) == (a, b)
+            assert abs(r.near_edited - alike_plain(a, b)) < 1e-9 and abs(r.near_next - alike_plain(a, c)) < 1e-9
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.95 * len(got)
+    want = classes_of_prints_plain(prints)
+    assert {i: r.class_id for i, r in got.items()} == {i: want[bytes.fromhex(r.fingerprint)] for i, r in got.items()}
 
 
-def test_editprint_ranges(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(editprint, "BUCKET_DOCS", 5)
+@pytest.mark.parametrize("group", [1 << 23, 300])
+def test_editprint_ranges(spark, monkeypatch, tmp_path, group):
+    """Ranges of few rows; ids in gaps, repeated and null ones, equal rows that fill several ranges."""
+    monkeypatch.setattr(editprint, "RANGE_ROWS", 5)
+    monkeypatch.setattr(editprint, "GROUP_CHARS", group)
     ids = random.Random(1).sample(range(1000), 60)
-    df = spark.createDataFrame([(i, f"text {i} " * (i % 9)) for i in ids], "doc_id long, text string")
-    got = rows(registry.QUERIES["op9_document_fingerprints"](spark, save(tmp_path, documents=df.repartition(4))))
-    order = sorted(ids)
-    for i, j in zip(order, order[1:] + order[:1]):
-        t, u = (f"text {k} " * (k % 9) for k in (i, j))
+    made = [(i, f"text {i} " * (i % 9)) for i in ids] + [(ids[0], "other of one id"), (None, "none"), (None, None)] + [(500, "hot row " * 3)] * 40
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = registry.QUERIES["op9_document_fingerprints"](spark, save(tmp_path, documents=df.repartition(4))).collect()
+    order = sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1] or "")).view(np.int64)))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
         half = len(t) // 2
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()
+        want.append((i if i is not None else -1, hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.edited_sha256) for r in got) == sorted(want)
 
 
-def test_editprint_follows_edits(monkeypatch):
+def test_editprint_follows_edits():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
-    text = " ".join(word() for _ in range(800))
-    shifted = "new start " + text
-    cut = text[:1000] + text[1100:]
-    other = " ".join(word() for _ in range(800))
-    a, b, c, d, e = editprint.embed([text, shifted, cut, other, text])
-    assert (a == e).all() and editprint.likeness(a, b) > 0.8 and editprint.likeness(a, c) > 0.7 and editprint.likeness(a, d) < 0.1
-    whole = editprint.embed([text])
-    assert (editprint.embed([other, text, ""])[1] == whole[0]).all() and not editprint.embed([""]).any()
+    texts = [" ".join(word() for _ in range(800)) for _ in range(40)]
+    prints = editprint.embed(texts)
+    changed = editprint.embed([t[:2000] + "x" + t[2000:] for t in texts])
+    halves = editprint.embed([t[: len(t) // 2] for t in texts])
+    one, half, none = (float(np.median(editprint.likeness(prints, x))) for x in (changed, halves, np.roll(prints, 1, axis=0)))
+    assert one > 0.85 and 0.4 < half < 0.6 and none < 0.1
+    assert (editprint.embed([texts[3], "", *texts[:4]])[[0, -1]] == prints[3]).all() and not editprint.embed([""]).any()
 
 
 def test_editprint_classes(spark):
@@ -549,22 +612,32 @@ def test_editprint_classes(spark):
         assert {i: r.class_id for i, r in got.items()} == {i: i % 4 for i in range(16)}
 
 
-def test_editprint_classes_of_a_large_bucket(spark, monkeypatch):
+def test_editprint_classes_of_a_large_bucket(spark):
     rng = np.random.default_rng(7)
-    made = []
+    prints = {}
     for c in range(5):
         base = rng.integers(0, 256, editprint.BINS, dtype=np.uint8)
-        base[:4] = 7  # one band for all; others differ by member
+        base[: editprint.WIDTH] = 7  # one band for all; others differ by member
         for j in range(5):
             fp = base.copy()
-            fp[4::4] = j
-            fp[5::4] = c
-            made.append((5 * c + j, fp.tobytes().hex()))
-    prints = spark.createDataFrame(made, "doc_id long, fingerprint string")
-    monkeypatch.setattr(editprint, "fingerprints", lambda docs, **_: prints)
+            fp[5::5] = j
+            prints[fp.tobytes()] = 5 * c + j
+    want = classes_of_prints_plain(prints)
+    assert sorted(set(want.values())) == [0, 5, 10, 15, 20]
+    df = spark.createDataFrame([(i, f) for f, i in prints.items()], "doc_id long, fp binary")
     for limit in (editprint.BAND_ROWS, 2):
-        got = rows(editprint.near_classes(prints, rows=limit))
-        assert {i: r.class_id for i, r in got.items()} == {i: i // 5 * 5 for i in range(25)}
+        assert {bytes(r.fp): r.class_id for r in editprint.classes(df, rows=limit).collect()} == want
+
+
+def test_editprint_band_recall():
+    """Of pairs of fingerprints alike by NEAR or more, bands meet at least 0.9; pairs of all degrees of likeness are tried."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (20_000, editprint.BINS), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < rng.uniform(0.65, 1, (len(a), 1)), a, rng.integers(0, 256, a.shape, dtype=np.uint8))
+    close = editprint.likeness(a, b) >= editprint.NEAR
+    same = (a == b)[:, : editprint.BANDS * editprint.WIDTH].reshape(len(a), editprint.BANDS, editprint.WIDTH).all(axis=2).any(axis=1)
+    near = close & (editprint.likeness(a, b) < editprint.NEAR + 0.03)
+    assert same[close].mean() > 0.97 and same[near].mean() > 0.9
 
 
 # 10
