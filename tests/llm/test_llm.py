@@ -479,7 +479,8 @@ def test_licence_templates_are_known():
         for t in templates:
             z = sum((w[g] for g in licences._grams(t) if g in w), b.copy())
             assert classes[int(z.argmax())] == family
-            assert re.search(licences.GATE, t)
+            words = t.split()
+            assert all(re.search(licences.gate(), " ".join(words[i : i + -(-len(words) * 7 // 10)])) for i in range(len(words) * 3 // 10 + 1))
 
 
 @pytest.mark.parametrize(
@@ -490,6 +491,12 @@ def test_licence_templates_are_known():
         ("gpl", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
         ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
         ("mit", "MIT License"), ("apache-2.0", "Apache License, Version 2.0"), ("bsd", "BSD 3-Clause License"), ("gpl", "GNU GENERAL PUBLIC LICENSE"), ("gpl", "Licensed under GPLv3"), ("gpl", "Released under GPLv3."),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+        ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.'),
+        ("epl-2.0", " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/"),
+        ("boost", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// https://www.boost.org/LICENSE_1_0.txt)"),
+        ("zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."),
+        ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."), ("isc", "ISC License"), ("epl-2.0", "Eclipse Public License"),
     ],
 )
 def test_licences_wrapped_and_named(spark, family, text):
@@ -497,6 +504,86 @@ def test_licences_wrapped_and_named(spark, family, text):
     assert got.licences == family
 
 
+def own_pairs(family):
+    pairs = lambda f: {g for d in (licences.TEMPLATES, licences.NAMES) for t in d.get(f, []) for g in licences._pairs(t)}
+    return pairs(family) - {g for f in licences.TEMPLATES if f != family for g in pairs(f)}
+
+
+def licences_plain(text):
+    """Names and spans of a text, unit by unit."""
+    classes, w, bias = licences.fit()
+    units, at = set(), 0
+    for m in [*re.finditer(r"\n(?:(?:[\W_])*?\n)+", text), None]:
+        end = m.start() if m else len(text)
+        part = text[at:end]
+        units.add((at, end))
+        s = at
+        for line in part.split("\n"):
+            units.add((s, s + len(line)))
+            s += len(line) + 1
+        s = 0
+        for g in [*re.finditer(licences.SENTENCE, part), None]:
+            e = g.start() if g else len(part)
+            if "\n" in part[s:e]:
+                units.add((at + s, at + e))
+            s = g.end() if g else e
+        at = m.end() if m else end
+    hits = []
+    for a, b in units:
+        x = text[a:b]
+        grams = licences._grams(x)
+        z = np.round(sum((w[g] for g in grams if g in w), bias.copy()), 9)
+        family = classes[int(z.argmax())]
+        p = 1 / np.exp(z - z.max()).sum()
+        mine = {g for g in licences._grams(x, 2) if " " in g}
+        full = inside = False
+        for least, given in ((licences.MIN_SHARE, licences.TEMPLATES), (1.0, licences.NAMES)):
+            for t in given.get(family, []):
+                pairs = {g for g in licences._grams(t, 2) if " " in g}
+                full |= len(pairs & mine) >= least * len(pairs)
+                inside |= bool(mine & own_pairs(family)) and len(mine) >= licences.MIN_PAIRS and len(pairs & mine) >= licences.MOST_SHARE * len(mine)
+        if family != licences.UNKNOWN and p >= licences.MIN_P and (full or (inside and re.search(licences.gate(), x))):
+            hits.append((a, b, family, full))
+    inner = lambda x, y: x[0] >= y[0] and x[1] <= y[1] and x[:2] != y[:2] and x[2] == y[2]
+    hits = [h for h in hits if not any(g[3] and inner(g, h) for g in hits)]
+    return sorted((a, b, f) for a, b, f, _ in hits if not any(inner((a, b, f), g) for g in hits))
+
+
+def test_licences_against_plain(spark, small):
+    rnd = random.Random(2)
+    units = [t for ts in licences.TEMPLATES.values() for t in ts] + [t for ts in licences.NAMES.values() for t in ts] + licences.NEGATIVES + ["Plain words.", "He said so. Then, no more."]
+    wrap = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    made = [rnd.choice(["\n", "\n\n", " "]).join(wrap(rnd.choice(units), rnd.choice([7, 12, 99])) for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    texts = made + [x["text"] or "" for x in documents(spark, small) if "icens" in (x["text"] or "") and len(x["text"]) < 20_000]
+    got = rows(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        want = licences_plain(t)
+        assert got[i].spans == ",".join(f"{f}:{a}:{b}" for a, b, f in want), t
+        assert (got[i].n_found, got[i].licences) == (len(want), ",".join(sorted({f for _, _, f in want})))
+
+
+def test_licences_held_out():
+    """Families of changed templates, by the classifier alone; changes made by a seed that training does not use."""
+    classes, w, bias = licences.fit()
+    judge = lambda t: classes[int(sum((w[g] for g in licences._grams(t) if g in w), bias.copy()).argmax())]
+    rnd = random.Random(99)
+    told = [(judge(v), f) for f, ts in licences.TEMPLATES.items() for t in ts for v in licences._variations(t, rnd, 5)[1:]]
+    assert np.mean([a == b for a, b in told]) > 0.95
+    other = [judge(v) for t in licences.NEGATIVES for v in licences._variations(t, rnd, 5)[1:]]
+    assert np.mean([x == licences.UNKNOWN for x in other]) > 0.95
+
+
+def test_licences_of_long_lines_are_linear(spark):
+    words = " ".join(f"w{i}" for i in range(40_000)) + " license"
+    many = "Released under the MIT License.\n" * 20_000
+    df = spark.createDataFrame([(1, words), (2, many), (3, "Released under the MIT License.\n\n" * 20_000)], "doc_id long, text string").repartition(3)
+    licences.scan(df.limit(1)).collect()
+    began = time.perf_counter()
+    got = rows(licences.scan(df))
+    assert time.perf_counter() - began < 60
+    assert (got[1].n_found, got[2].n_found, got[3].n_found) == (0, 20_000, 20_000)
+
+
 # 9
 
 
