@@ -29,6 +29,8 @@ Null ids come before all others. An empty table: empty result. Extra columns are
 from __future__ import annotations
 
 import zlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, SEGMENT, HOT, FLUSH, SEED = 100, 1 << 20, 1024, 1 << 20, 2
+#: Of a corpus, by its size as the planner knows it, what one bucket of ranks stands for (an eighth to a sixth of it in memory).
+BUCKET_BYTES = 4_000_000
 _RNG = np.random.default_rng(SEED)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -144,11 +148,8 @@ def _repeated_ranks(bits: int):
     """Round 1, reduce side: leading bits of the ranks that came more than once."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for bucket, ranks in zip(b.column("bucket").to_pylist(), b.column("ranks").to_pylist()):
-                held.setdefault(bucket, []).append(ranks)
-        for bucket, parts in held.items():
+        for bucket, parts in groupby(_rows(batches, "bucket", "ranks"), key=itemgetter(0)):  # sorted by bucket
+            parts = [x for _, x in parts]
             five = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, 5)
             wide = np.zeros((len(five), 8), dtype=np.uint8)
             wide[:, :5] = five
@@ -159,6 +160,11 @@ def _repeated_ranks(bits: int):
     return run
 
 
+def _rows(batches, *columns):
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in columns))
+
+
 def _key(g: np.ndarray, bits: int) -> np.ndarray:
     """The part of a rank that round 1 compares."""
     keep = 64 - (40 + bits)
@@ -190,7 +196,7 @@ def _place(i: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return common.xx_long(pos, common.xx_long(i).view(np.int64)).view(np.int64)
 
 
-def _contents(length: int, filt, hot):
+def _contents(length: int, bits: int, filt, hot):
     """Round 3, map side: (g, id, pos, bytes) of the anchors left; of hot ranks the windows, packed (kind 1, by bucket of their rank)."""
 
     def run(batches):
@@ -218,19 +224,18 @@ def _contents(length: int, filt, hot):
                 g, i, pos, data = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(g), pa.int32()), pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array(pos, pa.int64()), pa.array(data, pa.binary())], names=["kind", "g", "id", "pos", "data"])
             if size > FLUSH:
-                yield _windows(held)
+                yield _windows(held, bits)
                 held, size = [], 0
         if held:
-            yield _windows(held)
+            yield _windows(held, bits)
 
     return run
 
 
 _WINDOW = np.dtype([("rank", "<u8"), ("id", "<i8"), ("pos", "<i8")])
-_WINDOW_BUCKETS = 1024
 
 
-def _windows(held) -> pa.RecordBatch:
+def _windows(held, bits: int) -> pa.RecordBatch:
     """Windows of hot ranks by bucket: of each rank the first, and the second and later ones at once as found (kind 2)."""
     w = np.empty(sum(len(x[0]) for x in held), dtype=_WINDOW)
     w["rank"], w["id"], w["pos"] = (np.concatenate(x) for x in zip(*held))
@@ -238,10 +243,10 @@ def _windows(held) -> pa.RecordBatch:
     same = np.concatenate([[False], w["rank"][1:] == w["rank"][:-1]])
     later = same & np.concatenate([[False], w[1:] != w[:-1]])  # a repeated row's window is the same one again
     firsts = w[~same]
-    bucket = (firsts["rank"] >> np.uint64(54)).astype(np.int64)
-    at = np.searchsorted(bucket, np.arange(_WINDOW_BUCKETS + 1))
-    some = np.flatnonzero(np.diff(at))
-    kinds, gs, data = [1] * len(some), some.tolist(), [firsts[at[k] : at[k + 1]].tobytes() for k in some]
+    bucket = (firsts["rank"] >> np.uint64(64 - bits)).astype(np.int64)
+    some = np.unique(bucket)
+    at = np.searchsorted(bucket, np.append(some, 1 << bits))
+    kinds, gs, data = [1] * len(some), some.tolist(), [firsts[x:y].tobytes() for x, y in zip(at, at[1:])]
     gone = w[later]
     for s in range(0, len(gone), 4096):
         kinds.append(2)
@@ -319,17 +324,14 @@ def _later_packed(length: int):
     """Round 3, reduce side of packed windows: those of a bucket together."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for kind, bucket, data in zip(*(b.column(c).to_pylist() for c in ("kind", "g", "data"))):
-                if kind == 1:
-                    held.setdefault(bucket, []).append(data)
-                else:
+        for (kind, _), parts in groupby(_rows(batches, "kind", "g", "data"), key=itemgetter(0, 1)):  # sorted by (kind, g)
+            if kind == 2:
+                for _, _, data in parts:
                     w = np.frombuffer(data, dtype=_WINDOW)
                     w = w[np.lexsort((w["pos"], w["id"]))]
                     yield _spans(w["id"], w["pos"], length)
-        for parts in held.values():
-            w = np.frombuffer(b"".join(parts), dtype=_WINDOW)
+                continue
+            w = np.frombuffer(b"".join(x for _, _, x in parts), dtype=_WINDOW)
             w = w[np.lexsort((w["pos"], w["id"], w["rank"]))]
             w = w[1:][(w["rank"][1:] == w["rank"][:-1]) & (w[1:] != w[:-1])]
             w = w[np.lexsort((w["pos"], w["id"]))]
@@ -391,9 +393,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     many = not ids.groupBy("id").count().where("count > 1").isEmpty()
     sub = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF) if many else F.lit(0).cast("long")
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), sub.alias("sub"), F.col(text_col).alias("text"))
-    bits = int(min(17, max(8, np.ceil(np.log2(max(1, n) / 4000)))))
+    size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = int(min(20, max(8, np.ceil(np.log2(max(1, n / 4000, min(size, n * 1_000_000) / BUCKET_BYTES))))))
 
-    ranks = src.select("text").mapInArrow(_rank_blocks(length, bits), "bucket int, ranks binary").repartition("bucket").mapInArrow(_repeated_ranks(bits), "rank long")
+    ranks = src.select("text").mapInArrow(_rank_blocks(length, bits), "bucket int, ranks binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_ranks(bits), "rank long")
     ranks = common.cut(ranks, "ranks")
     filt = sc.broadcast(common.key_filter(ranks, "rank", ranks.count()))
     met = common.cut(src.mapInArrow(_neighbourhoods(length, bits, filt), "g long, a long, id long, pos long, n int"), "anchors")
@@ -406,11 +409,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hot = wide.where(F.col("k") > HOT)
     filt2 = sc.broadcast(common.key_filter(left, "place", left.count()))
     filt3 = sc.broadcast(common.key_filter(hot, "g", hot.count()))
-    contents = src.mapInArrow(_contents(length, filt2, filt3), "kind int, g long, id long, pos long, data binary")
+    contents = src.mapInArrow(_contents(length, bits, filt2, filt3), "kind int, g long, id long, pos long, data binary")
     contents = common.cut(contents, "contents")
     out = "id long, pos long, end long"
     spans = spans.unionByName(contents.where("kind = 0").repartition("g").sortWithinPartitions("g").mapInArrow(_later_windows(length), out))
-    spans = spans.unionByName(contents.where("kind > 0").repartition("kind", "g").mapInArrow(_later_packed(length), out))
+    spans = spans.unionByName(contents.where("kind > 0").repartition("kind", "g").sortWithinPartitions("kind", "g").mapInArrow(_later_packed(length), out))
 
     half = F.lit((1 << 32) - 1)
     some = spans.select("id", F.shiftright("pos", 32).alias("sub"), F.col("pos").bitwiseAND(half).alias("start"), F.col("end").bitwiseAND(half).alias("end"), F.lit(None).cast("binary").alias("data"), F.lit(True).alias("some"))
