@@ -1,12 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Text is lower-cased; every run of characters other than letters is one space. N-grams of 1 to MAX_N code points are hashed
-into BUCKETS; the matrix of log-probabilities (BUCKETS x languages, floats: at most 64 MB for MAX_LANGS languages) is
-broadcast, and a text's score is the sum of its n-grams' rows, gathered in numpy over the whole text, in pieces of PIECE
-code points so that memory is bounded.
+into BUCKETS; the matrix of log-probabilities (buckets x languages, floats: at most 64 MB, as with over 256 languages each halving of the buckets makes room for twice as many) is
+broadcast, and a text's score is the sum of its n-grams' rows: a batch of texts is a sparse matrix, whose rows are summed in numpy over the whole
+texts, in pieces so that memory is bounded.
 
-Training takes at most TRAIN_DOCS texts of a language, those of the least hash of their id; with more than MAX_LANGS
-values of lang the most frequent ones are learned. Laplace smoothing ALPHA, class priors from all training rows.
+Training takes at most TRAIN_DOCS texts of a language, those of the least hash of their id; every value of lang is learned. Laplace smoothing ALPHA, class priors from all training rows.
 
 lang_pred is `und` with score 0 where the text is null or has no letter, or where nothing could be learned; else score is the
 predicted language's posterior, tempered by the square root of the count of n-grams, as these are not independent.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_N, BUCKETS, TRAIN_DOCS, MAX_LANGS, ALPHA, PIECE = 3, 1 << 16, 3000, 256, 0.05, 1 << 20
+MAX_N, BUCKETS, TRAIN_DOCS, CELLS, ALPHA, PIECE = 3, 1 << 16, 3000, 1 << 24, 0.05, 1 << 20
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,43 +76,62 @@ def _count(batches):
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log-probabilities: BUCKETS rows and one of priors)."""
+    """(languages in order, log-probabilities: a power of two of rows, and one of priors)."""
     common.small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (where if where is not None else F.lit(True))).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0), dtype=np.float32)
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / n)))))
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, TRAIN_DOCS / n)) for k, n in sizes.items()], "lang string, share double")
     part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(part < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    sample = rows.join(share, "lang").where(part < F.col("share")).select("lang", "text")
     got = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
-    m = np.full((BUCKETS + 1, len(langs)), ALPHA)
-    np.add.at(m, (got.column("bucket").to_numpy(), np.array([at[x] for x in got.column("lang").to_pylist()], dtype=np.int64)), got.column("n").to_numpy())
+    buckets = min(BUCKETS, 1 << max(0, int(np.log2(CELLS / len(langs)))))
+    m = np.full((buckets + 1, len(langs)), ALPHA)
+    np.add.at(m, (got.column("bucket").to_numpy() % buckets, np.array([at[x] for x in got.column("lang").to_pylist()], dtype=np.int64)), got.column("n").to_numpy())
     m[:-1] = np.log(m[:-1] / m[:-1].sum(axis=0))
     m[-1] = np.log([sizes[x] / sum(sizes.values()) for x in langs])
     return langs, m.astype(np.float32)
 
 
-def classify(text: str | None, langs: list[str], m: np.ndarray) -> tuple[str, float]:
-    g = grams(text) if text and langs else []
-    if not g:
-        return "und", 0.0
-    total = m[-1].astype(np.float64)
-    for x in g:
-        for s in range(0, len(x), 1 << 16):
-            total = total + m[x[s : s + (1 << 16)]].sum(axis=0, dtype=np.float64)
-    best = int(total.argmax())
-    p = np.exp((total - total[best]) / np.sqrt(sum(map(len, g))))
-    return langs[best], float(1 / p.sum())
+def classify(texts: list[str | None], langs: list[str], m: np.ndarray) -> list[tuple[str, float]]:
+    """(language, score) of each text of a batch."""
+    counts = np.zeros(len(texts), dtype=np.int64)
+    total = np.repeat(m[-1:].astype(np.float64), len(texts), axis=0)
+    held: list[tuple[int, np.ndarray]] = []
+    room = 0
+
+    def flush() -> None:
+        if held:
+            size = np.array([len(x) for _, x in held])
+            rows = m[np.concatenate([x for _, x in held]) & (len(m) - 2)]
+            np.add.at(total, np.array([i for i, _ in held]), np.add.reduceat(rows, np.cumsum(size) - size, axis=0, dtype=np.float64))
+            held.clear()
+
+    for i, text in enumerate(texts):
+        for g in grams(text) if text and langs else []:
+            counts[i] += len(g)
+            for s in range(0, len(g), 1 << 16):
+                held.append((i, g[s : s + (1 << 16)]))
+                room += len(held[-1][1])
+                if room * len(langs) > 1 << 20:
+                    flush()
+                    room = 0
+    flush()
+    out = [("und", 0.0)] * len(texts)
+    for i in np.flatnonzero(counts):
+        best = int(total[i].argmax())
+        out[i] = langs[best], float(1 / np.exp((total[i] - total[i][best]) / np.sqrt(counts[i])).sum())
+    return out
 
 
 def _apply(model):
     def run(batches):
         langs, m = model.value
         for b in batches:
-            got = [classify(x, langs, m) for x in b.column("__text").to_pylist()]
+            got = classify(b.column("__text").to_pylist(), langs, m)
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["__id", "held_out", "lang_pred", "score"])
 
     return run
