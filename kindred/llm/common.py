@@ -41,9 +41,19 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches of whole texts that Arrow carries and the Parquet reader decodes (its vectors are single large arrays)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS // 2))
+    """Bounds the batches of whole texts that Arrow carries and the Parquet reader decodes (its vectors are single large arrays).
+
+    Only where the session leaves these settings at their defaults; they are read when a plan runs, so they cannot be put back here.
+    """
+    for key, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS // 2)):
+        if not spark.conf.isModifiable(key) or key in _explicit(spark):
+            continue
+        spark.conf.set(key, str(rows))
+
+
+def _explicit(spark: SparkSession) -> set[str]:
+    """Settings that whoever made the session chose."""
+    return {k for k, _ in spark.sparkContext.getConf().getAll()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

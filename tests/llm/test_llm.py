@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -278,8 +279,47 @@ def test_language_pieces_and_und(spark, monkeypatch):
     whole = np.sort(np.concatenate(langid.grams(t)))
     monkeypatch.setattr(langid, "PIECE", 17)
     assert (np.sort(np.concatenate(langid.grams(t))) == whole).all()
-    assert langid.classify("12 34 !", ["a"], np.zeros((langid.BUCKETS + 1, 1), dtype=np.float32)) == ("und", 0.0)
-    assert langid.classify(None, ["a"], np.zeros((langid.BUCKETS + 1, 1), dtype=np.float32)) == ("und", 0.0)
+    m = np.random.default_rng(1).normal(size=(langid.BUCKETS + 1, 3)).astype(np.float32)
+    assert langid.classify(["12 34 !", None], ["a"], m[:, :1]) == [("und", 0.0)] * 2
+    texts = [t, "a", "", "ab cd", None, t + "x"]
+    alone = [langid.classify([x], ["a", "b", "c"], m)[0] for x in texts]
+    for (a, p), (b, q) in zip(alone, langid.classify(texts, ["a", "b", "c"], m)):
+        assert a == b and abs(p - q) < 1e-9
+
+
+def test_language_against_plain(spark, small):
+    """Naive Bayes over the n-grams themselves, not hashed, in dictionaries."""
+    docs = rows(spark.read.parquet(f"{small}/documents.parquet"))
+
+    def grams(t):
+        t = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        return Counter(t[i : i + n] for n in range(1, langid.MAX_N + 1) for i in range(len(t) - n + 1))
+
+    count, size = {}, Counter()
+    for i, r in docs.items():
+        if r.text is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            size[r.lang] += 1
+            count.setdefault(r.lang, Counter()).update(grams(r.text))
+    total = {k: sum(c.values()) + langid.ALPHA * langid.BUCKETS for k, c in count.items()}
+    got = rows(registry.QUERIES["op4_language_id"](spark, small))
+    agree = []
+    for i, r in docs.items():
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        own = grams(r.text)
+        score = {k: np.log(size[k] / sum(size.values())) + sum(n * np.log((count[k][g] + langid.ALPHA) / total[k]) for g, n in own.items()) for k in count}
+        agree.append(max(sorted(score), key=score.get) == got[i].lang_pred)
+    assert np.mean(agree) > 0.99
+
+
+def test_languages_over_the_matrix(spark, monkeypatch):
+    """More languages than the matrix has room for at full width: all are learned, over fewer buckets."""
+    monkeypatch.setattr(langid, "CELLS", 1 << 12)
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 20, f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    langs, m = langid.train(docs)
+    assert len(langs) == 40 and m.size <= (1 << 12) + 40
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, (langs, m)).collect()} == {i: f"l{i}" for i in range(40)}
 
 
 def test_quality(spark, small):
@@ -290,6 +330,20 @@ def test_quality(spark, small):
     assert sum(got[i].predicted == labels[i] for i in held) >= 0.9 * len(held)
 
 
+def test_quality_against_plain(spark, small):
+    """Rows chosen, features and fit from the tables as pandas; the query's scores are those of the same risk."""
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet").toPandas() for n in ("documents", "labels"))
+    mine = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    own = labels[labels.doc_id.map(mine) & labels.quality.notna()]
+    pos = np.array([quality.features(t) for i, t in zip(docs.doc_id, docs.text) if i in set(own[own.quality == 1].doc_id)])
+    unl = np.array([quality.features(t) for i, t in zip(docs.doc_id, docs.text) if mine(i)])
+    order = [np.lexsort(x.T) for x in (pos, unl)]
+    w = quality.fit(pos[order[0]], unl[order[1]], min(0.99, float(own.quality.mean())))
+    want = dict(zip(docs.doc_id, quality.scores(np.array([quality.features(t) for t in docs.text]), w)))
+    got = rows(registry.QUERIES["op5_quality_classifier"](spark, small))
+    assert all(abs(r.score - want[i]) < 1e-6 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
+
+
 def test_quality_without_labels(spark, tmp_path):
     d = save(tmp_path, documents=odd(spark), labels=spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in registry.QUERIES["op5_quality_classifier"](spark, d).collect()} == {0.5}
