@@ -35,14 +35,37 @@ def strip(c: Column | str) -> Column:
 
 
 def normalize(c: Column | str) -> Column:
-    """Invisible and control characters deleted (line feeds too), lower case with ß as ss, other than word characters to spaces.
+    """In full (see normal): invisible and control characters deleted (line feeds too), compatibility composition, case folding,
+    other than word characters to spaces.
 
-    Equal to normalize_full on text that compatibility decomposition leaves alone.
+    Texts of characters that composition leaves alone and whose folding is their lower case (SAFE; most texts) stay in the JVM; Arrow carries
+    the others only, and nulls in place of these.
     """
     shown = F.regexp_replace(text(c), INVISIBLE, "")
-    return squeeze(F.regexp_replace(F.replace(F.lower(shown), F.lit("ß"), F.lit("ss")), OTHER, " "))
+    here = squeeze(F.regexp_replace(F.replace(F.lower(shown), F.lit("ß"), F.lit("ss")), OTHER, " "))
+    return F.coalesce(_normalize_full(F.when(~text(c).rlike(SAFE), text(c))), here)
 
 
+def _safe(c: str) -> bool:
+    """Whether a character alone, and before or after any other, is composed to itself and folded by lower case (ß aside)."""
+    plain = unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)
+    return plain and unicodedata.category(c)[0] != "M" and unicodedata.category(c) != "Cn" and (c == "ß" or (c.lower() == c.casefold() and len(c.lower()) == 1)) and c not in "Σσς"
+
+
+def _safe_pattern() -> str:
+    """Runs of safe characters in the scripts that are common: Latin, Greek, Cyrillic, punctuation, currency, kana, Han, Hangul syllables."""
+    runs: list[list[int]] = []
+    for low, high in ((0, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FEF), (0xAC00, 0xD7A3)):
+        for code in range(low, high + 1):
+            if _safe(chr(code)):
+                if runs and runs[-1][1] == code - 1:
+                    runs[-1][1] = code
+                else:
+                    runs.append([code, code])
+    return "^[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]*$"
+
+
+SAFE = _safe_pattern()
 _PY_INVISIBLE = re.compile("[\u200b-\u200f\ufeff\x00-\x1f\x7f-\x9f]")
 _PY_OTHER = re.compile("[^\\w\\s\u0900-\u097f\u0980-\u09ff\u0600-\u06ff\u0400-\u04ff\u4e00-\u9fff]")
 
@@ -71,7 +94,7 @@ def latin(s: str, inner: bool = True, unmapped: str = "keep") -> str:
 
 @F.pandas_udf(T.StringType())
 def _normalize_full(s: pd.Series) -> pd.Series:
-    return s.map(normal)
+    return s.map(normal, na_action="ignore")
 
 
 def _latin_full(column: Column | str, inner: bool = True, unmapped: str = "keep") -> Column:

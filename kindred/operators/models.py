@@ -18,9 +18,15 @@ def _weighted(df: DataFrame, label: str, negative: float) -> DataFrame:
     return df.withColumn("__w", F.when(F.col(label) == 1, 1.0).otherwise(negative)).withColumn("__y", F.col(label).cast("double"))
 
 
-def boosted(df: DataFrame, columns: list[str], label: str = "is_match", negative: float = 1.0, trees: int = 40, depth: int = 5, rate: float = 0.1) -> PipelineModel:
-    """Gradient-boosted trees; negative: weight of a negative row (1 main, 2 hybrid, 4 sieve)."""
+def boosted(df: DataFrame, columns: list[str], label: str = "is_match", negative: float = 1.0, trees: int = 40, depth: int = 5, rate: float = 0.1, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Gradient-boosted trees; negative: weight of a negative row (1 main, 2 hybrid, 4 sieve).
+
+    validation: a boolean column; rows where it is true are not fitted to, and trees stop once their loss there falls by less than tolerance.
+    """
     x = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
+    if validation:
+        g = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED, validationIndicatorCol=validation, validationTol=tolerance)
+        return Pipeline(stages=[x, g]).fit(_weighted(df, label, negative))
     g = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
     return Pipeline(stages=[x, g]).fit(_weighted(df, label, negative))
 

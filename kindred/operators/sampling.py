@@ -31,15 +31,36 @@ def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Percent of validation records and what becomes of queries without a record, by variant.
+SPLITS = {"main": (20, "split"), "hybrid": (20, "drop"), "sieve": (15, "halve")}
+#: Fixed values of the late variant: records to train on, records to validate on.
+LATE_SIZES = (10_000, 50_000)
+
+
+def split_fixed(reference: DataFrame, query: DataFrame, truth: DataFrame, sizes: tuple[int, int] = LATE_SIZES, seed: int = 42) -> dict[str, DataFrame]:
+    """Split of the late variant: that many records in hash order to train on, the next so many to validate on, with their queries and edges."""
+    n, m = sizes
+    order = [shuffled("entity_id", seed), F.col("entity_id")]
+    train = reference.orderBy(*order).limit(n)
+    both = reference.orderBy(*order).limit(n + m)
+    val = both.join(train.select("entity_id"), "entity_id", "left_anti")
+    out = {}
+    for name, ref in (("train", train), ("val", val)):
+        edges = truth.join(ref.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+        mine = edges.select(F.col("query_id").alias("entity_id")).distinct()
+        out |= {f"{name}_reference": ref, f"{name}_query": query.join(mine, "entity_id", "left_semi"), f"{name}_edges": edges}
+    return out
+
+
 def split(reference: DataFrame, query: DataFrame, truth: DataFrame, val: int = 20, unmatched: str = "split", seed: int = 42) -> dict[str, DataFrame]:
     """Entity-disjoint halves train_* and val_* of reference, query and edges; val: percent by hash of the reference id.
 
-    Queries go with their record. unmatched queries: split by their own hash, or dropped.
+    Queries go with their record. unmatched queries: split by their own hash (split), each half by another hash (halve), or dropped (drop).
     """
     out = {}
     owner = truth.groupBy("query_id").agg(F.min("s1_id").alias("s1_id"))
     sided = query.join(owner.withColumnRenamed("query_id", "entity_id"), "entity_id", "left")
-    side_of = F.when(F.col("s1_id").isNotNull(), bucket("s1_id", seed)).otherwise(bucket("entity_id", seed) if unmatched == "split" else F.lit(None))
+    side_of = F.when(F.col("s1_id").isNotNull(), bucket("s1_id", seed)).otherwise({"split": bucket("entity_id", seed), "halve": F.when(bucket("entity_id", seed + 1) < 50, F.lit(0)).otherwise(F.lit(99))}.get(unmatched, F.lit(None)))
     sided = sided.withColumn("__b", side_of)
     for name, test in (("val", lambda b: b < val), ("train", lambda b: b >= val)):
         out[f"{name}_reference"] = reference.where(test(bucket("entity_id", seed)))

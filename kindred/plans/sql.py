@@ -29,6 +29,14 @@ def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{text.SPACE}'), lambda w: w <> '')"
 
 
+def soundex(w: str) -> str:
+    """First letter and three digits; equal neighbours count once, H and W between them too."""
+    x = f"regexp_replace(upper(replace({w}, 'ß', 'ss')), '[^A-Z]', '', 'g')"
+    codes = f"string_split(translate({x}[1] || regexp_replace(substr({x}, 2), '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077'), '')"
+    once = f"array_to_string(list_filter({codes}, lambda c, i: i = 1 OR c <> ({codes})[i - 1]), '')"
+    return f"CASE WHEN {x} = '' THEN '' ELSE {x}[1] || rpad(substr(replace(substr({once}, 2), '0', ''), 1, 3), 3, '0') END"
+
+
 def strings(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

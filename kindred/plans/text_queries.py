@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +105,30 @@ def n18_padded_grams(spark: SparkSession, d: str) -> DataFrame:
     return readers.records(spark, d).select("entity_id", F.array_join(text.padded_gram_ids(text.normalize("business_name")), ",").alias("ids"))
 
 
+def sc1_file(spark: SparkSession, d: str) -> DataFrame:
+    """Records written to a tab-separated file, with the word NA, quotes and white space, and scanned from it."""
+    flat = lambda c: F.regexp_replace(text.text(c), r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]", " ")
+    rows = readers.records(spark, d).select("entity_id", F.concat(F.lit(' "'), flat("business_name"), F.lit(" ")).alias("business_name"), F.lit("NA").alias("business_address"), "country")
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kindred-tsv-")
+    at = f"{root.rstrip('/')}/records-{uuid.uuid4().hex}"
+    lines = rows.select(F.concat_ws("\t", *readers.RECORD).alias("value"))
+    header = spark.createDataFrame([("\t".join(readers.RECORD),)], "value string")
+    lines.unionByName(header).orderBy(F.col("value") != "\t".join(readers.RECORD)).coalesce(1).write.text(at)
+    return readers.record_file(spark, at)
+
+
+def sc4_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of every third record of one source, found by id with that source scanned alone."""
+    records = readers.records(spark, d).select(*readers.RECORD, "doc_id")
+    wanted = records.where("entity_id like 'S2-%' and doc_id % 9 = 1").select("entity_id")
+    return readers.by_source(records, wanted).select("entity_id", "business_name")
+
+
+def sc6_capped(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred queries."""
+    return readers.capped(readers.query_side(readers.records(spark, d)).select("entity_id", "business_name"), 100)
+
+
 def t6_first_rows(spark: SparkSession, d: str) -> DataFrame:
     """The first record of each name."""
     from ..operators import sampling
@@ -109,7 +136,7 @@ def t6_first_rows(spark: SparkSession, d: str) -> DataFrame:
     return sampling.first_rows(readers.records(spark, d), "business_name", "doc_id").select("business_name", "entity_id")
 
 
-QUERIES = {f.__name__: f for f in (sc1_records, sc2_truth_edges, n1_normalize, n2_transliterate, n4_clean, n6_script, n7_serialize, n8_state, n9_numbers, n12_soundex, n13_metaphone, n14_skeleton, n15_fingerprint, n16_phonetic_keys, n17_gram_ids, n18_padded_grams, t6_first_rows)}
+QUERIES = {f.__name__: f for f in (sc1_records, sc1_file, sc4_by_source, sc6_capped, sc2_truth_edges, n1_normalize, n2_transliterate, n4_clean, n6_script, n7_serialize, n8_state, n9_numbers, n12_soundex, n13_metaphone, n14_skeleton, n15_fingerprint, n16_phonetic_keys, n17_gram_ids, n18_padded_grams, t6_first_rows)}
 
 _R = f"WITH {sql.RECORDS} "
 _N, _A = "business_name", "business_address"
@@ -119,6 +146,10 @@ _GRAMS = "CASE WHEN length({0}) < 3 THEN list_filter([{0}], lambda w: w <> '') E
 ORACLE = {
     "sc1_records": _R + f"SELECT entity_id, {_STRIP.format(_N)} AS business_name, {_STRIP.format(_A)} AS business_address, {_STRIP.format('country')} AS country FROM records",
     "sc2_truth_edges": f"WITH {sql.SIDES} SELECT s1_id, query_id FROM truth",
+    "sc1_file": _R + rf"""SELECT entity_id, regexp_replace('"' || regexp_replace(business_name, '[\x00-\x1F\x7F\x{{85}}\x{{2028}}\x{{2029}}]', ' ', 'g') || ' ', '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS business_name, 'NA' AS business_address, country FROM records""",
+    "sc4_by_source": _R + "SELECT entity_id, business_name FROM records WHERE doc_id % 9 = 1",
+    "sc6_capped": _R + "SELECT entity_id, business_name FROM records WHERE entity_id NOT LIKE 'S1-%' ORDER BY entity_id LIMIT 100",
+    "n12_soundex": _R + f"SELECT word, {sql.soundex('word')} AS soundex FROM (SELECT DISTINCT unnest({sql.words('business_name')}) AS word FROM records) WHERE length(word) >= 2",
     "n1_normalize": _R + f"SELECT entity_id, {sql.norm(_N)} AS name_normalized, {sql.norm(_A)} AS address_normalized FROM records",
     "n2_transliterate": _R + f"SELECT entity_id, {sql.norm(_N)} AS name_normalized, {sql.latin(_N)} AS name_transliterated, {sql.latin(_A)} AS address_transliterated, trim({sql.latin(_N)} || ' ' || {sql.latin(_A)}) AS combined_transliterated FROM records",
     "n4_clean": _R + f"SELECT entity_id, {sql.clean(_N)} AS name_norm, {sql.clean(_A)} AS addr_norm, upper(country) AS country_clean FROM records",

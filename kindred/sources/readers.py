@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
 
+SOURCES = ("S1", "S2", "S3")
 RECORD = ("entity_id", "business_name", "business_address", "country")
 
 
@@ -34,6 +38,46 @@ def record_file(spark: SparkSession, path: str, required: bool = True) -> DataFr
     return df.withColumns({c: text.strip(c) for c in RECORD})
 
 
+def discovered(spark: SparkSession, root: str) -> dict[str, str]:
+    """Paths of the record and truth files below root, by name: train_source1 ... test_source3, train_ground_truth.
+
+    The least folder in order of names that holds both a train and a test folder; in these a file is known by its name with any
+    beginning and end (*source1*.tsv). What is not there is left out. Spark's own file systems are asked, so remote roots work.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    found, out = fs.listFiles(path, True), {}
+    files: dict[str, list[str]] = {}
+    while found.hasNext():
+        at = found.next().getPath().toString()
+        files.setdefault(posixpath.dirname(at), []).append(at)
+    homes = sorted(posixpath.dirname(d) for d in files if posixpath.basename(d) == "train" and posixpath.join(posixpath.dirname(d), "test") in files)
+    home = homes[0] if homes else fs.makeQualified(path).toString()
+    for side in ("train", "test"):
+        for kind in ("source1", "source2", "source3", "ground_truth"):
+            here = sorted(x for x in files.get(posixpath.join(home, side), files.get(home, [])) if kind in os.path.basename(x) and x.endswith(".tsv") and (homes or side in os.path.basename(x)))
+            if here:
+                out[f"{side}_{kind}"] = here[0]
+    return out
+
+
+def capped(queries: DataFrame, max_queries: int | None, order: str = "entity_id") -> DataFrame:
+    """The first max_queries of the queries by order, exactly; all if it is None. A stated limit, for trial runs."""
+    return queries if max_queries is None else queries.orderBy(order).limit(max_queries)
+
+
+def by_source(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records whose id is among ids (entity_id), scanned only for the sources (id prefixes) that occur in ids; none: no rows, same columns."""
+    prefixes = [r.p for r in ids.select(F.substring_index("entity_id", "-", 1).alias("p")).distinct().limit(len(SOURCES) + 1).collect()]
+    if not prefixes:
+        return records.where(F.lit(False))
+    wanted = F.lit(True) if len(prefixes) > len(SOURCES) else F.substring_index("entity_id", "-", 1).isin(prefixes)
+    return records.where(wanted).join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
 def truth_file(spark: SparkSession, path: str) -> DataFrame:
     """Edges (s1_id, query_id) of a file of comma-separated lists; see truth_edges."""
     schema = T.StructType([T.StructField("source1_entity_id", T.StringType()), T.StructField("matched_entity_ids", T.StringType())])

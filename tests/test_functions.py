@@ -16,6 +16,21 @@ def test_normalize(spark, given, expected):
     assert text.normal(given) == expected
 
 
+def test_normalize_column_is_full(spark):
+    """The column against the plain function: ligatures, full width, superscripts, fractions, final sigma, numerals, marks, and what stays in the JVM."""
+    given = ["ﬁne Ｆｕｌｌ", "ΟΔΟΣ", "½ cup", "x²", "Ⅳ", "e\u0301te\u0301", "हिन्दी नाम", "Straße ÀÉ", "漢字 かな 한글", "İstanbul", "a\u200bb\nc", "—“q”… €5", "ǅ ŉ ſ K", "Ж ё Ё", None, "", " \u00a0 "]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", text.normalize("t").alias("n")).collect()}
+    assert got == {i: text.normal(t) for i, t in enumerate(given)}
+
+
+def test_safe_characters_need_no_arrow(spark):
+    safe = [chr(c) for c in range(0xD7A4) if text._safe(chr(c))]
+    df = spark.createDataFrame([(c,) for c in safe], "c string")
+    bad = [r for r in df.select("c", text.normalize(F.concat(F.lit("a"), "c", F.lit("B"))).alias("n")).collect() if r.n != text.normal(f"a{r.c}B")]
+    assert not bad
+
+
 def test_normalize_full_composes():
     assert text.normal("ﬁ Ⅳ") == "fi iv"
 

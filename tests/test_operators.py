@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from kindred.operators import assign, blocking, candidates, metrics, models, retrieval, sampling, validate
 from kindred.plans import pipelines
@@ -196,3 +198,43 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_files_are_discovered(spark, tmp_path):
+    for name in ("a/data/train/train_source1.tsv", "a/data/train/x_source2_v1.tsv", "a/data/test/test_source1.tsv", "a/data/train/train_ground_truth.tsv", "b/train_source1.tsv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("entity_id\n")
+    got = readers.discovered(spark, str(tmp_path))
+    assert {k: v.rpartition("/")[2] for k, v in got.items()} == {"train_source1": "train_source1.tsv", "train_source2": "x_source2_v1.tsv", "train_ground_truth": "train_ground_truth.tsv", "test_source1": "test_source1.tsv"}
+    flat = readers.discovered(spark, str(tmp_path / "b"))
+    assert list(flat) == ["train_source1"] and readers.discovered(spark, str(tmp_path / "none")) == {}
+
+
+def test_by_source_prunes(spark):
+    records = spark.createDataFrame([("S1-1", "a"), ("S2-1", "b"), ("S3-1", "c")], "entity_id string, business_name string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "entity_id string")
+    assert [r.entity_id for r in readers.by_source(records, ids("S2-1", "S2-9")).collect()] == ["S2-1"]
+    none = readers.by_source(records, ids())
+    assert none.columns == records.columns and none.count() == 0
+
+
+def test_split_presets(spark):
+    reference = spark.createDataFrame([(f"S1-{i}",) for i in range(400)], "entity_id string")
+    query = spark.createDataFrame([(f"S2-{i}",) for i in range(800)], "entity_id string")
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i}") for i in range(400)], "s1_id string, query_id string")
+    for name, (val, rest) in sampling.SPLITS.items():
+        got = {k: {r[0] for r in v.select(v.columns[-1] if k.endswith("edges") else "entity_id").collect()} for k, v in sampling.split(reference, query, truth, val, rest).items()}
+        assert not got["train_query"] & got["val_query"] and not got["train_reference"] & got["val_reference"]
+        free = {side: sum(int(q[3:]) >= 400 for q in got[f"{side}_query"]) for side in ("train", "val")}
+        assert {"split": free["train"] + free["val"] == 400 and free["val"] < 120, "drop": free == {"train": 0, "val": 0}, "halve": free["train"] + free["val"] == 400 and 150 < free["val"] < 250}[rest], name
+        assert abs(len(got["val_reference"]) - 4 * val) < 30
+    late = sampling.split_fixed(reference, query, truth, (30, 50))
+    assert (late["train_reference"].count(), late["val_reference"].count(), late["val_query"].count()) == (30, 50, 50)
+
+
+def test_boosting_stops_early(spark):
+    rng = random.Random(3)
+    rows = [(float(i % 2) + rng.random() * 0.1, rng.randint(0, 1) if i % 5 == 0 else i % 2, i % 5 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "x double, is_match int, held boolean")
+    whole = models.boosted(df, ["x"], trees=12).stages[-1].getNumTrees
+    assert models.boosted(df, ["x"], trees=12, validation="held").stages[-1].getNumTrees < whole == 12
