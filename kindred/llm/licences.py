@@ -223,7 +223,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_found, licences (sorted, comma-joined), spans (family:start:end by start), n_unknown."""
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    found = find(src, "__text")
+    found = common.cut(find(src, "__text"), "licences")
     # units nest or are apart, but for sentences and lines, which may cross; by start, and the larger first, those within another come after it
     order = (F.col("start"), F.col("end").desc())
     after = Window.partitionBy("__row", "family").orderBy(F.col("start").desc(), "end").rowsBetween(Window.unboundedPreceding, -1)
