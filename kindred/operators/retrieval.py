@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables, text, vectors
+from ..sources import writers
 
 DIGITS, FLOOR = 6, 0.001
 
@@ -60,7 +61,7 @@ def vocabulary(counts: DataFrame, n: DataFrame, mode: Bm25) -> DataFrame:
 
 def bm25_postings(reference: DataFrame, column: str, mode: Bm25 = MAIN) -> DataFrame:
     """(term, s1_id, weight)."""
-    counts = tokens(reference, column, "s1_id")
+    counts = writers.kept(tokens(reference, column, "s1_id"), "counts")  # read by the vocabulary, the lengths and the weights
     n = reference.agg(F.count("*").alias("n"))
     inside = counts.join(vocabulary(counts, n, mode), "term")
     length = inside.groupBy("s1_id").agg(F.sum("tf").alias("len"))
@@ -92,22 +93,34 @@ def _block_top(k: int, floor: float):
         order = np.argsort(term, kind="stable")
         code, weight = code[order], p.weight.to_numpy()[order]
         at = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        number = {t: i for i, t in enumerate(terms)}
+        mine, queries = pd.factorize(q.query_id)
+        number = pd.Index(terms).get_indexer(q.term)
+        known = np.flatnonzero(number >= 0)
+        known = known[np.argsort(mine[known], kind="stable")]
+        mine, first, last, factor = mine[known], at[number[known]], at[number[known] + 1], q.q.to_numpy()[known]
+        ends = np.searchsorted(mine, np.arange(len(queries) + 1))
         out: list[tuple] = []
-        sums = np.zeros(len(ids))
-        for query, rows in q.groupby("query_id", sort=False):
-            sums[:] = 0
-            for t, w in zip(rows.term, rows.q):
-                i = number.get(t)
-                if i is not None:
-                    sums[code[at[i] : at[i + 1]]] += w * weight[at[i] : at[i + 1]]
-            score = np.round(sums, DIGITS)
-            some = np.flatnonzero(score > floor)
+        for i in range(len(queries)):
+            lists = range(ends[i], ends[i + 1])
+            if not lists:
+                continue
+            met = np.concatenate([code[first[j] : last[j]] for j in lists])
+            part = np.concatenate([weight[first[j] : last[j]] * factor[j] for j in lists])
+            if len(met) * 8 < len(ids):  # few records share a term: the others are not looked at
+                some, place = np.unique(met, return_inverse=True)
+                score = np.bincount(place, weights=part)
+            else:
+                score = np.bincount(met, weights=part, minlength=len(ids))
+                some = np.flatnonzero(score > 0)
+                score = score[some]
+            score = np.round(score, DIGITS)
+            some, score = some[score > floor], score[score > floor]
             if len(some) > k:
-                least = np.partition(score[some], len(some) - k)[len(some) - k]
-                some = some[score[some] >= least]
-                some = some[np.lexsort((some, -score[some]))][:k]
-            out += [(query, ids[i], score[i]) for i in some]
+                least = score >= np.partition(score, len(some) - k)[len(some) - k]
+                some, score = some[least], score[least]
+                best = np.lexsort((some, -score))[:k]
+                some, score = some[best], score[best]
+            out += zip([queries[i]] * len(some), ids[some], score)
         return pd.DataFrame(out, columns=["query_id", "s1_id", "score"])
 
     return run
@@ -116,13 +129,15 @@ def _block_top(k: int, floor: float):
 def search(query: DataFrame, postings: DataFrame, k: int, floor: float = FLOOR) -> DataFrame:
     """(query_id, s1_id, score, rank) by sparse dot product; query: (query_id, term, q), postings: (term, s1_id, weight).
 
-    Both sides are dealt in blocks of bounded size, and every block of queries meets every block of reference records in a
-    task of its own, which gives out k rows a query. A join on terms would give out a row for each shared term of each
-    pair first, and its hottest terms would decide the time. Both sides are kept (memory, then disk) as they are counted and
-    then dealt.
+    Both sides are written once (writers.kept), so that they are counted without being made again and nothing stays in the
+    session's memory; query terms that no reference record has are left out first. Then both are dealt in blocks of bounded
+    size, and every block of queries meets every block of reference records in a task of its own, which gives out k rows a
+    query. A join on terms would give out a row for each shared term of each pair first, and its hottest terms would decide
+    the time.
     """
     cores = query.sparkSession.sparkContext.defaultParallelism
-    query, postings = query.persist(), postings.persist()
+    postings = writers.kept(postings, "postings")
+    query = writers.kept(query.join(postings.select("term").distinct(), "term", "left_semi"), "query-terms")
     nq = query.count()
     rb = max(1, -(-postings.count() // POSTINGS_BLOCK))
     qb = max(1, -(-nq // QUERY_BLOCK), min(cores, nq // LEAST_BLOCK))
@@ -163,7 +178,7 @@ def tfidf_rows(records: DataFrame, column: str, id_as: str) -> DataFrame:
 
 def tfidf_top(reference: DataFrame, query: DataFrame, column: str, k: int, min_df: int = 2, max_features: int = 100_000) -> DataFrame:
     """Cosine of character n-gram vectors: (query_id, s1_id, score, rank)."""
-    rows = tfidf_rows(reference, column, "s1_id")
+    rows = writers.kept(tfidf_rows(reference, column, "s1_id"), "counts")  # read by the vocabulary and, twice, by unit
     n = reference.agg(F.count("*").alias("n"))
     counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
     used = counts.orderBy(F.desc("cf"), "term").limit(max_features)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -225,7 +224,7 @@ _COLUMNS = ("name_levenshtein", "name_jaro_winkler", "name_token_set", "name_tok
 
 
 def _split_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = main_features(spark, d).persist()
+    f = writers.kept(main_features(spark, d), "features")
     b = sampling.bucket("query_id")
     return f.where(b >= 20), f.where(b < 20)
 
@@ -261,8 +260,7 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """Exact-key decisions of queries replayed as a stream of files; equal to the batch result whatever the micro-batches."""
     ref, query, _ = sides(spark, d)
     keyed = lambda df, i: blocking.keyed(df, text.join_fields(text.normalize("business_name"), text.normalize("business_address")), i)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kindred-replay-")
-    at = f"{root}/replay-{uuid.uuid4().hex}"
+    at = f"{writers.shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     query.repartition(4).write.parquet(f"{at}/in")
     replay.replay(spark, f"{at}/in", query.schema, lambda b: blocking.unique_key(keyed(ref, "s1_id"), keyed(b, "query_id"))[0], f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out").select("query_id", "s1_id")

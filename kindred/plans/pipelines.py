@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import assign, blocking, candidates, features, models, retrieval, veto
+from ..sources import writers
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ def main_candidates(ref: DataFrame, query: DataFrame, limits: Limits = INFERENCE
 
 def main(ref: DataFrame, query: DataFrame, score, absolute: float = 0.65, margin: float = 0.05, limits: Limits = INFERENCE) -> tuple[DataFrame, DataFrame]:
     """(edges, candidates); score: 61 feature columns to a score column, or a fitted model."""
-    r, q = features.prepared(ref).persist(), features.prepared(query).persist()  # read by each channel and by the features
-    found = main_candidates(r, q, limits).persist()  # read by the features and by the last semi join
+    r, q = writers.kept(features.prepared(ref), "references"), writers.kept(features.prepared(query), "queries")  # read by each channel and by the features
+    found = writers.kept(main_candidates(r, q, limits), "candidates")  # read by the features and by the last semi join
     rows = features.main(found, q, r)
     scored = models.predict(score, rows) if not isinstance(score, Column) else rows.withColumn("score", score)
     edges = assign.main(scored.select("query_id", "s1_id", "score"), absolute, margin)
@@ -62,7 +63,7 @@ def sieve(ref: DataFrame, query: DataFrame, score, absolute: float = 0.5, margin
     rest = q.join(locked.select(F.col("query_id").alias("entity_id")), "entity_id", "left_anti")
     channels = [(blocking.truncated(blocking.keyed(r, F.col(c), "s1_id", 1, "first"), blocking.keyed(rest, F.col(c), "query_id")), s) for c, s in (("n", 10.0), ("a", 8.0))]
     channels.append((retrieval.bm25_top(r, rest, "c", k, retrieval.SIEVE), None))
-    found = candidates.priority_fill(channels, k).persist()
+    found = writers.kept(candidates.priority_fill(channels, k), "candidates")
     rows = features.sieve(found, query, ref)
     scored = models.predict(score, rows) if not isinstance(score, Column) else rows.withColumn("score", score)
     edges = assign.sieve(locked, veto.apply(scored).select("query_id", "s1_id", "score"), absolute, margin)
@@ -122,7 +123,7 @@ def late(ref: DataFrame, query: DataFrame, absolute: float = 0.6, margin: float
     r, q = forms(ref), forms(query)
     channels = [(blocking.truncated(blocking.keyed(r, F.col(c), "s1_id", 1, "first"), blocking.keyed(q, F.col(c), "query_id")), s) for c, s in (("c", 10.0), ("n", 9.0), ("a", 8.0))]
     channels.append((retrieval.bm25_top(r, q, "c", k, retrieval.LATE), None))
-    found = candidates.priority_fill(channels, k).persist()
+    found = writers.kept(candidates.priority_fill(channels, k), "candidates")
     qv, rv = (token_vectors(x).select(F.col("entity_id").alias(i), F.col("v").alias(v)) for x, i, v in ((query, "query_id", "qv"), (ref, "s1_id", "rv")))
     scored = found.select("query_id", "s1_id").join(qv, "query_id").join(rv, "s1_id").select("query_id", "s1_id", F.round(maxsim("qv", "rv"), 6).alias("score"))
     return assign.late(scored, absolute, margin), found.select("query_id", "s1_id")

@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Thresholds where no usable file has any.
 DEFAULT_THRESHOLDS = {"abs_threshold": 0.65, "margin_threshold": 0.05}
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a folder of this process only where it is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="kindred-"))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read back.
+
+    For what is read more than once: unlike a persisted table it holds no memory once read, and lost executors do not undo it.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def collapsed(reference: DataFrame, edges: DataFrame, out: str = "matched_entity_ids", order: str | None = None) -> DataFrame:
     """(source1_entity_id, out) for every reference record: its query ids sorted and comma-joined, empty if none. order: a column to sort rows by."""
