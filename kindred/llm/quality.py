@@ -1,15 +1,15 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk, minimised over a small network.
 
-Trusted positives: texts labelled 1. Unlabelled: web text as it comes. Class prior: the share of 1 among the labels of the
-training rows, estimated anew for each corpus. Features are style measures of a whole text (symbols, capitals, repeats,
+Trusted positives: texts labelled 1. Unlabelled: web text as it comes. Class prior: estimated from these two alone (class_prior),
+anew for each corpus; labels of 0 are not used. Features are style measures of a whole text (symbols, capitals, repeats,
 lengths); a network of HIDDEN units is fitted in numpy by Adam, in full batches; where the negative part of the risk falls
 under zero it is ascended, as the method has it.
 
-Training takes at most TRAIN positives and about TRAIN unlabelled rows, those of the least hash of their id; the rows held
-out (crc32 of the id, modulo 3, is 1) are in neither.
+Training takes at most TRAIN positives and about TRAIN unlabelled rows, those of the least hash of their id, the prior at most
+PRIOR_ROWS of each of these; the rows held out (crc32 of the id, modulo 3, is 1) are in neither.
 
 score: the network's probability, in 0..1, for empty and null texts too; predicted: 1 if score >= 0.5. Without positives every
-score is the prior, or 0.5 without labels. Null ids: not held out, never trained on. Repeated rows: a result row each.
+score is 0, or 0.5 without labels; with fewer than two rows of a kind the prior is the share of 1 among the labels. Null ids: not held out, never trained on. Repeated rows: a result row each.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from . import common
 from .langid import held_out
 
 TRAIN, HIDDEN, STEPS, RATE, DECAY, SEED = 20_000, 16, 600, 0.02, 1e-4, 5
+PRIOR_ROWS, FOLDS, ROUNDS, PRIOR_STEPS, LEAST_KEPT, DOUBT = 4_000, 5, 4, 300, 0.95, 0.1
 _CLASS = np.zeros((256, 6))
 _CLASS[65:91, 0] = 1  # capitals
 _CLASS[97:123, 1] = 1  # small letters
@@ -66,7 +67,7 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(rows, pa.list_(pa.float64()))], names=["kind", "x"])
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float) -> dict[str, np.ndarray]:
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -> dict[str, np.ndarray]:
     """Weights of the network that minimises prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)), logistic loss."""
     rng = np.random.default_rng(SEED)
     mean, std = unl.mean(axis=0), unl.std(axis=0) + 1e-3
@@ -75,7 +76,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float) -> dict[str, np.ndarray]
     w = {"a": rng.normal(0, 0.3, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         h = np.tanh(x @ w["a"] + w["b"])
         z = h @ w["c"] + w["d"]
         p, soft = sigmoid(z), np.logaddexp(0, z)
@@ -97,6 +98,39 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float) -> dict[str, np.ndarray]
     return w | {"mean": mean, "std": std}
 
 
+def best_bin(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives among unlabelled scores: that of unlabelled over that of positive scores past one threshold.
+
+    Past any threshold the ratio is the prior or more, as negatives may be there too; the threshold is the one of the least
+    upper confidence bound, among those that keep LEAST_KEPT of the positives (a minimum over small bins would come out low).
+    """
+    at = np.unique(pos)
+    p, u = (1 - np.searchsorted(np.sort(x), at) / len(x) for x in (pos, unl))
+    slack = np.sqrt(np.log(4 / DOUBT) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+    best = np.argmin(np.where(p >= LEAST_KEPT, (u + slack) / np.maximum(p, LEAST_KEPT), np.inf))
+    return float(u[best] / p[best])
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float | None:
+    """Share of positives in unl, with pos a sample of positives; None if either has fewer than two rows.
+
+    Each round fits the network of the round before's prior (0.5 at first) on all folds but one, scores that one, and
+    estimates the prior anew from the pooled scores.
+    """
+    pos, unl = (x[:: max(1, -(-len(x) // PRIOR_ROWS))] for x in (pos, unl))
+    folds = min(FOLDS, len(pos), len(unl))
+    if folds < 2:
+        return None
+    mine, other = np.arange(len(pos)) % folds, np.arange(len(unl)) % folds
+    prior, p, u = 0.5, np.empty(len(pos)), np.empty(len(unl))
+    for _ in range(ROUNDS):
+        for k in range(folds):
+            w = fit(pos[mine != k], unl[other != k], prior, PRIOR_STEPS)
+            p[mine == k], u[other == k] = scores(pos[mine == k], w), scores(unl[other == k], w)
+        prior = min(0.99, max(0.01, best_bin(p, u)))
+    return prior
+
+
 def scores(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     if "prior" in w:
         return np.full(len(x), float(w["prior"][0]))
@@ -109,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     common.small_batches(docs.sparkSession)
     mine = where if where is not None else F.lit(True)
     own = labels.where(mine & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    prior = own.agg(F.avg(F.col("y").cast("double")).alias("p")).first().p
-    if prior is None or prior <= 0:
-        return {"prior": np.array([0.5 if prior is None else prior])}
+    share = own.agg(F.avg(F.col("y").cast("double")).alias("p")).first().p
+    if share is None or share <= 0:
+        return {"prior": np.array([0.5 if share is None else share])}
     mixed = F.xxhash64(F.col("id"))
     ids = F.broadcast(own.where("y = 1").select("id").distinct().orderBy(mixed, "id").limit(TRAIN))
     texts = docs.where(mine & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -124,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     kind, x = kind[order], x[order]
     pos, unl = x[kind == 1], x[kind == 0]
     if not len(pos) or not len(unl):
-        return {"prior": np.array([prior])}
-    return fit(pos, unl, min(prior, 0.99))
+        return {"prior": np.array([share])}
+    return fit(pos, unl, class_prior(pos, unl) or min(share, 0.99))
 
 
 def _apply(model):

@@ -338,7 +338,9 @@ def test_quality_against_plain(spark, small):
     pos = np.array([quality.features(t) for i, t in zip(docs.doc_id, docs.text) if i in set(own[own.quality == 1].doc_id)])
     unl = np.array([quality.features(t) for i, t in zip(docs.doc_id, docs.text) if mine(i)])
     order = [np.lexsort(x.T) for x in (pos, unl)]
-    w = quality.fit(pos[order[0]], unl[order[1]], min(0.99, float(own.quality.mean())))
+    prior = quality.class_prior(pos[order[0]], unl[order[1]])
+    assert abs(prior - own.quality.mean()) < 0.06  # labels of 0 take no part in it
+    w = quality.fit(pos[order[0]], unl[order[1]], prior)
     want = dict(zip(docs.doc_id, quality.scores(np.array([quality.features(t) for t in docs.text]), w)))
     got = rows(registry.QUERIES["op5_quality_classifier"](spark, small))
     assert all(abs(r.score - want[i]) < 1e-6 and r.predicted == int(r.score >= 0.5) for i, r in got.items())
@@ -349,6 +351,20 @@ def test_quality_without_labels(spark, tmp_path):
     assert {r.score for r in registry.QUERIES["op5_quality_classifier"](spark, d).collect()} == {0.5}
 
 
+@pytest.mark.parametrize(("share", "n"), [(0.2, 300), (0.5, 300), (0.8, 300), (0.2, 2000), (0.5, 2000), (0.8, 2000)])
+def test_class_prior_of_known_mixtures(share, n):
+    rng = np.random.default_rng(n)
+    k = int(share * n)
+    unl = np.concatenate([rng.normal(1, 1, (k, quality.N_FEATURES)), rng.normal(-1, 1, (n - k, quality.N_FEATURES))])
+    assert abs(quality.class_prior(rng.normal(1, 1, (n, quality.N_FEATURES)), rng.permutation(unl)) - share) < 0.05
+
+
+def test_class_prior_of_few_rows():
+    x = np.ones((3, quality.N_FEATURES))
+    assert quality.class_prior(x[:1], x) is None and quality.class_prior(x, x[:1]) is None
+    assert 0.01 <= quality.class_prior(x, x) <= 0.99
+
+
 def test_risk_is_not_negative():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(1, 1, (300, quality.N_FEATURES)), rng.normal(-1, 1, (300, quality.N_FEATURES))
