@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_N, BUCKETS, TRAIN_DOCS, CELLS, ALPHA, PIECE = 3, 1 << 16, 3000, 1 << 24, 0.05, 1 << 20
+#: Languages whose shares are broadcast (a name and a number each); more are joined as the planner sees fit.
+BROADCAST_LANGS = 100_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -83,6 +85,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0), dtype=np.float32)
     share = docs.sparkSession.createDataFrame([(k, min(1.0, TRAIN_DOCS / n)) for k, n in sizes.items()], "lang string, share double")
+    if len(sizes) <= BROADCAST_LANGS:
+        share = F.broadcast(share)  # texts are not shuffled by language, of which one may hold most rows
     part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.join(share, "lang").where(part < F.col("share")).select("lang", "text")
     got = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
