@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tables, text, vectors
+from ..functions import tables, text
 from ..sources import writers
 
 DIGITS, FLOOR = 6, 0.001
@@ -193,18 +193,56 @@ def tfidf_top(reference: DataFrame, query: DataFrame, column: str, k: int, min_d
     return search(q, unit(rows, "s1_id").withColumnRenamed("w", "weight"), k)
 
 
-def dense_top(query: DataFrame, reference: DataFrame, k: int, floor: float = 0.0, block: int = 4096) -> DataFrame:
+#: A block of queries meets a block of reference rows CHUNK rows at a time: a matrix of at most 64 MB.
+DENSE_QUERIES, DENSE_ROWS, DENSE_CHUNK, DENSE_LEAST = 2048, 65_536, 4096, 1024
+
+
+def _best(mine: np.ndarray, code: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k greatest scores, ties by code."""
+    order = np.lexsort((code, -score, mine))
+    first = np.searchsorted(mine[order], mine[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _dense_block(k: int, floor: float):
+    """Dot products of a block of queries and a block of reference rows of one length; no pair leaves but each query's k best."""
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": q.query_id[:0], "s1_id": r.s1_id[:0], "score": pd.Series(dtype=float)})
+        r = r.sort_values("s1_id", ignore_index=True)  # in order of ids, which decides ties
+        left = np.stack(q.q.to_numpy()).astype(np.float64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(r), DENSE_CHUNK):
+            right = np.stack(r.v[at : at + DENSE_CHUNK].to_numpy()).astype(np.float64)
+            score = np.round(left @ right.T, DIGITS)
+            least = np.partition(score, -k, axis=1)[:, -k, None] if right.shape[0] > k else -np.inf
+            mine, code = np.nonzero((score >= least) & (score > floor))
+            some = _best(mine, code, score[mine, code], k)
+            held.append((mine[some], code[some] + at, score[mine[some], code[some]]))
+        mine, code, score = (np.concatenate(x) for x in zip(*held))
+        some = _best(mine, code, score, k)
+        return pd.DataFrame({"query_id": q.query_id.to_numpy()[mine[some]], "s1_id": r.s1_id.to_numpy()[code[some]], "score": score[some]})
+
+    return run
+
+
+def dense_top(query: DataFrame, reference: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
     """Dot-product top k of a stated query set (query_id, q) against all rows (s1_id, v): (query_id, s1_id, score, rank).
 
-    Queries go out in blocks of at most `block` rows, each with its share of a broadcast; a reference row meets a block of
-    queries as one row, and only pairs over the floor leave it.
+    Both sides are dealt in blocks of bounded size; every block of queries meets every block of reference rows as a matrix
+    product in a task of its own, which gives out k rows a query. Vectors of different lengths never meet; rows of a null id
+    and null or empty vectors, or those that hold a null, meet nothing. Rows that repeat an id are rows of their own.
     """
-    blocks = max(1, -(-query.count() // block))
-    numbered = query.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        one = numbered.where(F.col("__b") == b).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-        near = F.filter(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(vectors.dot(x["q"], F.col("v")), DIGITS).alias("score"))), lambda p: p["score"] > floor)
-        pairs = reference.join(F.broadcast(one)).select("s1_id", F.explode(near).alias("p")).select("p.query_id", "s1_id", "p.score")
-        out = pairs if out is None else out.unionByName(pairs)
-    return top(out, k, floor)
+    usable = lambda df, i, c: df.where(F.col(i).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull())).withColumn("n", F.size(c))
+    query, reference = usable(query, "query_id", "q"), usable(reference, "s1_id", "v")
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    rows = reference.count()
+    qb = max(1, -(-query.count() // DENSE_QUERIES))
+    rb = max(1, -(-rows // DENSE_ROWS), min(cores, rows // DENSE_LEAST))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.select("query_id", "q", "n", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("a"), each(rb).alias("b"))
+    r = reference.select("s1_id", "v", "n", each(qb).alias("a"), F.pmod(F.xxhash64("s1_id", "v"), F.lit(rb)).cast("int").alias("b"))
+    types = dict(query.dtypes) | dict(reference.dtypes)
+    found = q.groupBy("n", "a", "b").cogroup(r.groupBy("n", "a", "b")).applyInPandas(_dense_block(k, floor), f"query_id {types['query_id']}, s1_id {types['s1_id']}, score double")
+    return top(found, k, floor)

@@ -238,3 +238,24 @@ def test_boosting_stops_early(spark):
     df = spark.createDataFrame(rows, "x double, is_match int, held boolean")
     whole = models.boosted(df, ["x"], trees=12).stages[-1].getNumTrees
     assert models.boosted(df, ["x"], trees=12, validation="held").stages[-1].getNumTrees < whole == 12
+
+
+@pytest.mark.parametrize("chunk,rows,queries", [(4096, 65_536, 2048), (3, 7, 4)])
+def test_dense_top_against_plain(spark, monkeypatch, chunk, rows, queries):
+    """Blocks of any size give what all pairs give; ties, copies, null ids, odd lengths and nulls included."""
+    for name, value in (("DENSE_CHUNK", chunk), ("DENSE_ROWS", rows), ("DENSE_QUERIES", queries)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(5)
+    vec = lambda n=3: [float(rng.randint(-2, 2)) for _ in range(n)]
+    refs = [(i, vec()) for i in range(40)] + [(100 + i, [1.0, 1.0, 1.0]) for i in range(9)] + [(200, vec(2)), (201, None), (202, []), (203, [1.0, None, 1.0]), (None, [2.0, 2.0, 2.0])]
+    asks = [(i, vec()) for i in range(11)] + [(50, [1.0, 0.0]), (51, None), (52, [None, 1.0, 1.0]), (None, vec())]
+    want = []
+    ok = lambda v: bool(v) and None not in v
+    for qi, q in asks:
+        if qi is not None and ok(q):
+            near = sorted((-sum(x * y for x, y in zip(q, v)), i) for i, v in refs if i is not None and ok(v) and len(v) == len(q))
+            want += [(qi, i, -s, n) for n, (s, i) in enumerate([x for x in near if -x[0] > 0][:5], 1)]
+    found = retrieval.dense_top(spark.createDataFrame(asks, "query_id long, q array<double>"), spark.createDataFrame(refs, "s1_id long, v array<double>"), 5)
+    assert got(found, "query_id", "s1_id", "score", "rank") == sorted(want)
+    none = spark.createDataFrame([], "s1_id long, v array<double>")
+    assert retrieval.dense_top(spark.createDataFrame(asks, "query_id long, q array<double>"), none, 5).count() == 0
