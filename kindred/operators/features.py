@@ -86,6 +86,24 @@ def native_main() -> dict[str, Column]:
     }
 
 
+def ablation_stages() -> dict[str, list[str]]:
+    """Ten growing sets of the main extractor's columns."""
+    similar = lambda p: [f"{p}_{x}" for x in ("levenshtein", "char_len_diff", "char_len_ratio", "token_overlap", "token_count_diff", "translit_lev", *(new for new, _ in _UDF))]
+    exact, name, addr = [c for c in native_main() if c.startswith("exact_")], similar("name"), similar("addr")
+    out = {"exact": exact, "name": name, "address": addr, "name_address": name + addr}
+    grown = out["name_address"]
+    for stage, more in (
+        ("country", list(countries())),
+        ("script", ["script_match", "script_mismatch"]),
+        ("agreement", list(RETRIEVAL[-3:])),
+        ("bm25", [c for c in RETRIEVAL if "bm25" in c]),
+        ("tfidf", [c for c in RETRIEVAL if "tfidf" in c]),
+    ):
+        out[stage] = grown = grown + more
+    rest = ["combined_token_set", "weighted_composite_similarity", *(c for c in (*RETRIEVAL, *native_main()) if c not in grown)]
+    return out | {"full": grown + rest}
+
+
 def main(candidates: DataFrame, query: DataFrame, reference: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """query_id, s1_id and the 61 columns of the main variant; is_match too if truth (s1_id, query_id) is given."""
     x = with_fuzzy(facts(candidates, query, reference), name="name_normalized", addr="address_normalized", combined="combined_normalized")

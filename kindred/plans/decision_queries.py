@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assign, blocking, candidates, metrics, models, profile, retrieval, sampling, validate
+from ..operators import assign, blocking, candidates, features, metrics, models, profile, retrieval, sampling, validate
 from ..sources import readers, writers
 from ..streaming import replay
 from . import pipelines, sql
@@ -249,11 +249,11 @@ def a15_importances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m10_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Ten stages of the main extractor's columns on one split."""
     train, val = _split_features(spark, d)
     ref, _, edges = party_sides(spark, d)
     mine = edges.where(sampling.bucket("query_id") < 20)
-    stages = {"name": list(_COLUMNS[:4]), "name_address": list(_COLUMNS[:7]), "all": list(_COLUMNS)}
-    return models.ablation(train, val, stages, ref.select(F.col("entity_id").alias("s1_id")), mine, trees=5)
+    return models.ablation(train, val, features.ablation_stages(), ref.select(F.col("entity_id").alias("s1_id")), mine, trees=5)
 
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from kindred.operators import assign, blocking, candidates, metrics, models, retrieval, sampling, validate
+from kindred.operators import assign, blocking, candidates, features, metrics, models, retrieval, sampling, validate
 from kindred.plans import pipelines
 from kindred.sources import readers, writers
 from pyspark.sql import functions as F
@@ -259,3 +259,12 @@ def test_dense_top_against_plain(spark, monkeypatch, chunk, rows, queries):
     assert got(found, "query_id", "s1_id", "score", "rank") == sorted(want)
     none = spark.createDataFrame([], "s1_id long, v array<double>")
     assert retrieval.dense_top(spark.createDataFrame(asks, "query_id long, q array<double>"), none, 5).count() == 0
+
+
+def test_ablation_stages_grow_to_all_columns(spark):
+    stages = features.ablation_stages()
+    assert [len(c) for c in stages.values()] == [5, 11, 11, 22, 25, 27, 30, 36, 42, 61]
+    ref, query = (spark.createDataFrame([(i, "Acme Ltd", "1 Main St", "US")], REC) for i in ("S1-1", "S2-1"))
+    pair = spark.createDataFrame([("S2-1", "S1-1")], "query_id string, s1_id string").withColumns({c: F.lit(0) for c in features.RETRIEVAL})
+    made = features.main(pair, features.prepared(query), features.prepared(ref))
+    assert sorted(stages["full"]) == sorted(set(made.columns) - {"query_id", "s1_id"})
