@@ -16,4 +16,4 @@ QUERIES = {
     "op9_document_fingerprints": editprint.op9,
     "op10_sentencepiece": pieces.op10,
 }
-ORACLE_SQL = {"op3_benchmark_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {"op1_secret_scans": secrets.ORACLE_SQL, "op2_suffix_dedup": repeats.ORACLE_SQL, "op3_benchmark_decontamination": decontaminate.ORACLE_SQL}

@@ -426,3 +426,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 over whole documents."""
     got = remove_repeats(common.table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The contract said plainly: every string of LENGTH bytes (two hexadecimal digits each) against the first place that holds it.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents)),
+part AS (SELECT doc_id, b, substr(h, 2 * b + 1, 2 * (1000 + {LENGTH - 1})) AS t FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1}, 1000)) AS b FROM d)),
+win AS (SELECT doc_id, b + i AS p, substr(t, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, b, t, unnest(range(0, least(1000, length(t) // 2 - {LENGTH - 1}))) AS i FROM part)),
+head AS (SELECT s, min(struct_pack(doc_id, p)) AS f FROM win GROUP BY s HAVING count(*) > 1),
+later AS (SELECT win.doc_id, p FROM win JOIN head USING (s) WHERE win.doc_id <> f.doc_id OR p <> f.p),
+isle AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM later)),
+gone AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS e FROM isle GROUP BY doc_id, g),
+edge AS (SELECT doc_id, a, e FROM gone UNION ALL SELECT doc_id, n, n FROM d),
+gap AS (SELECT doc_id, a, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a, e), 0) AS o FROM edge),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * o + 1, 2 * (a - o)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS r, count(*) AS c FROM gone GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""

@@ -185,3 +185,44 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return made.select(*docs.columns)
+
+
+def _sql() -> str:
+    """All of op1 as SQL: places from the lengths of matches and of what lies between, the battery over lists of characters."""
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    assign = q(ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", either))
+
+    def found(name: str, kind: int, pattern: str, group: int) -> str:
+        before = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+        return f"""{name} AS (SELECT doc_id, {kind} AS kind, CAST({before} AS BIGINT) AS a, CAST({before} + length(m[i]) AS BIGINT) AS e, v[i] AS v
+  FROM (SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {group}) AS v, string_split_regex(t, {pattern}) AS g FROM d)))"""
+
+    of = lambda given: "CASE k WHEN 16 THEN {} WHEN 32 THEN {} ELSE {} END".format(*(f"{float(given[x])!r}::DOUBLE" for x in (16, 32, 64)))
+    band = " ".join(f"WHEN n < {x} THEN {i}" for i, x in enumerate(BANDS))
+    names = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(KINDS))
+    joined = f"string_agg(CASE kind {names} END || ':' || a || ':' || e, ',' ORDER BY a, kind, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{found("assigned", 0, assign, 2)}, {found("accesses", 1, q(ACCESS), 0)}, {found("hexes", 2, q(HEX), 0)}, {found("long_runs", 3, q(RUN), 0)},
+base AS (SELECT doc_id, kind, a, e FROM assigned WHERE length(v) >= {MIN_VALUE} UNION ALL SELECT doc_id, kind, a, e FROM accesses WHERE length(v) >= {MIN_ACCESS} UNION ALL SELECT doc_id, kind, a, e FROM hexes WHERE length(v) >= {MIN_HEX}),
+chars AS (SELECT *, length(v)::DOUBLE AS n, string_split(v, '') AS cs, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(v, '[A-Z2-7]+=*') THEN 32 ELSE 64 END AS k FROM long_runs),
+seen AS (SELECT *, list_transform(cs, lambda c: ascii(c)::DOUBLE) AS codes, list_transform(cs, lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 WHEN c BETWEEN '0' AND '9' THEN 3 ELSE 4 END) AS kinds,
+  list_sum(list_transform(list_distinct(cs), lambda c: (length(v) - length(replace(v, c, '')))::DOUBLE ** 2)) AS squares, {of(UNEVEN)} AS uneven, {of(CHANGE)} AS change, {of(GUARD)} AS guard FROM chars),
+means AS (SELECT *, list_sum(codes) / n AS mean, len(list_filter(range(1, len(kinds)), lambda i: kinds[i] <> kinds[i + 1])) AS runs FROM seen),
+spreads AS (SELECT *, list_sum(list_transform(codes, lambda x: (x - mean) ** 2)) AS spread, list_sum(list_transform(range(1, len(codes)), lambda i: (codes[i] - mean) * (codes[i + 1] - mean))) AS lagged FROM means),
+tests AS (SELECT *, (k - 1 + n * uneven - (k * squares / n - n)) / sqrt(2 * (k - 1) + 4 * n * uneven) AS z_chi, (runs - (n - 1) * change) / sqrt((n - 1) * change * (1 - change)) AS z_runs,
+  CASE WHEN spread = 0 THEN 99.0 ELSE abs(lagged / spread + 1 / n) * sqrt(n) END AS serial FROM spreads),
+sums AS (SELECT *, CASE WHEN least(z_chi, z_runs) >= guard THEN (z_chi + z_runs) / sqrt(2.0::DOUBLE) ELSE 0 END AS z, CASE {band} ELSE {len(BANDS)} END AS band FROM tests),
+binned AS (SELECT *, least({TOP_BIN}, floor(4 * CASE WHEN z <= 0 OR serial > 3 THEN 0 ELSE (z * z / 2 + ln(2.0::DOUBLE)) / ln(10.0::DOUBLE) END)) AS bin FROM sums),
+cut AS (SELECT x.band, min(x.bin) AS least_bin FROM (SELECT DISTINCT band, bin FROM binned) x
+  WHERE (SELECT count(*) FROM binned y WHERE y.band = x.band) * 10.0::DOUBLE ** (-x.bin / 4) <= {FDR}::DOUBLE * (SELECT count(*) FROM binned y WHERE y.band = x.band AND y.bin >= x.bin) GROUP BY x.band),
+random AS (SELECT doc_id, kind, a, e FROM binned r JOIN cut USING (band) WHERE bin >= least_bin AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.a < r.e AND b.e > r.a)),
+told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {joined} AS s FROM base GROUP BY doc_id),
+every AS (SELECT doc_id, {joined} AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM random) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(told.s, '')) AS base_sha256, coalesce(every.s, '') AS spans
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+ORACLE_SQL = _sql()
