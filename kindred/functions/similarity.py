@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -92,20 +94,32 @@ def jaro_winkler(a: str, b: str) -> float:
     return sim
 
 
-_FUZZY = T.StructType([T.StructField(k, T.DoubleType()) for k in ("jaro_winkler", "fuzz_ratio", "partial_ratio", "token_sort", "token_set")])
+#: By name, in the order of the struct's fields.
+FUZZY = {"jaro_winkler": jaro_winkler, "fuzz_ratio": ratio, "partial_ratio": partial_ratio, "token_sort": token_sort, "token_set": token_set}
+
+
+@functools.cache
+def _fuzzy(names: tuple[str, ...]):
+    kind = T.StructType([T.StructField(k, T.DoubleType()) for k in names])
+    made = [FUZZY[k] for k in names]
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        seen: dict[tuple[str, str], tuple] = {}
+        out = np.empty((len(a), len(made)))
+        for i, pair in enumerate(zip(a.fillna(""), b.fillna(""))):
+            if pair not in seen:
+                p, q = pair
+                seen[pair] = (0.0,) * len(made) if not p or not q else (1.0,) * len(made) if p == q else tuple(f(p, q) for f in made)
+            out[i] = seen[pair]
+        return pd.DataFrame(out, columns=list(names))
+
+    return run
 
 
-@F.pandas_udf(_FUZZY)
-def fuzzy(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Struct of the five; equal pairs of strings in a batch are computed once."""
-    seen: dict[tuple[str, str], tuple] = {}
-    out = np.empty((len(a), 5))
-    for i, pair in enumerate(zip(a.fillna(""), b.fillna(""))):
-        if pair not in seen:
-            p, q = pair
-            seen[pair] = (0.0,) * 5 if not p or not q else (1.0,) * 5 if p == q else (jaro_winkler(p, q), ratio(p, q), partial_ratio(p, q), token_sort(p, q), token_set(p, q))
-        out[i] = seen[pair]
-    return pd.DataFrame(out, columns=_FUZZY.names)
+def fuzzy(a: Column, b: Column, *names: str) -> Column:
+    """Struct of the named similarities, of all five without names; equal pairs of strings in a batch are computed once."""
+    return _fuzzy(names or tuple(FUZZY))(a, b)
 
 
 def levenshtein(a: Column, b: Column) -> Column:

@@ -53,9 +53,9 @@ def countries(prefix: str = "country") -> dict[str, Column]:
     return {f"{prefix}_exact_match": _flag(known & (q == s)), f"{prefix}_mismatch": _flag(known & (q != s)), f"{prefix}_missing": _flag(~known)}
 
 
-def with_fuzzy(x: DataFrame, **pairs: str) -> DataFrame:
-    """Struct columns f_<name> of the five UDF similarities of q_<column>, s_<column>."""
-    return x.withColumns({f"f_{k}": similarity.fuzzy(*_pair(c)) for k, c in pairs.items()})
+def with_fuzzy(x: DataFrame, **pairs: tuple[str, ...]) -> DataFrame:
+    """Struct columns f_<name> of UDF similarities of q_<column>, s_<column>; pairs: the column, then which are wanted (all five if none is named)."""
+    return x.withColumns({f"f_{k}": similarity.fuzzy(*_pair(c), *wanted) for k, (c, *wanted) in pairs.items()})
 
 
 RETRIEVAL = (
@@ -106,7 +106,7 @@ def ablation_stages() -> dict[str, list[str]]:
 
 def main(candidates: DataFrame, query: DataFrame, reference: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """query_id, s1_id and the 61 columns of the main variant; is_match too if truth (s1_id, query_id) is given."""
-    x = with_fuzzy(facts(candidates, query, reference), name="name_normalized", addr="address_normalized", combined="combined_normalized")
+    x = with_fuzzy(facts(candidates, query, reference), name=("name_normalized",), addr=("address_normalized",), combined=("combined_normalized", "token_set"))
     cols = {c: F.col(c) for c in RETRIEVAL} | native_main()
     cols |= {f"{p}_{new}": F.col(f"f_{p}.{c}") for p in ("name", "addr") for new, c in _UDF}
     cols["combined_token_set"] = F.col("f_combined.token_set")
@@ -125,7 +125,7 @@ HYBRID_FLAGS = ("by_exact_name", "by_exact_address", "by_exact_combined", "by_ph
 
 def hybrid(candidates: DataFrame, query: DataFrame, reference: DataFrame) -> DataFrame:
     """query_id, s1_id and the 30 columns of the hybrid variant, on transliterated text; dense scores are token Jaccard."""
-    x = with_fuzzy(facts(candidates, query, reference), name="name_transliterated", addr="address_transliterated")
+    x = with_fuzzy(facts(candidates, query, reference), name=("name_transliterated", "jaro_winkler", "token_sort", "token_set"), addr=("address_transliterated", "jaro_winkler", "token_sort"))
     x = x.withColumns({f"{p}_codes": phonetics.metaphones_udf(f"{p}_name_transliterated") for p in "qs"})
     first = {p: F.coalesce(F.try_element_at(text.words(F.col(f"{p}_name_transliterated")), F.lit(1)), F.lit("")) for p in "qs"}
     x = x.withColumns({f"{p}_first": first[p] for p in "qs"}).withColumns({f"{p}_m": phonetics.metaphone_udf(f"{p}_first") for p in "qs"})
@@ -175,7 +175,7 @@ def sieve(candidates: DataFrame, query: DataFrame, reference: DataFrame) -> Data
     x = candidates.join(side(query, "query_id", "q"), "query_id", "left").join(side(reference, "s1_id", "s"), "s1_id", "left").na.fill("", ["q_name", "q_addr", "q_country", "s_name", "s_addr", "s_country"])
     for p in "qs":
         x = x.withColumn(f"{p}_prefix", F.array_join(F.slice(text.words(F.col(f"{p}_name")), 1, 2), " ")).withColumn(f"{p}_comb", F.concat_ws(" ", f"{p}_name", f"{p}_addr"))
-    x = with_fuzzy(x, name="name", addr="addr", prefix="prefix", comb="comb")
+    x = with_fuzzy(x, name=("name",), addr=("addr",), prefix=("prefix", "jaro_winkler"), comb=("comb", "token_sort", "token_set"))
     names = (("jw", "jaro_winkler"), ("sort", "token_sort"), ("set", "token_set"), ("ratio", "fuzz_ratio"), ("partial", "partial_ratio"))
     fuzz = {f"{p}_{new}": F.col(f"f_{p}.{c}") for p in ("name", "addr") for new, c in names} | {"comb_sort": F.col("f_comb.token_sort"), "comb_set": F.col("f_comb.token_set"), "brand_prefix_jw": F.col("f_prefix.jaro_winkler")}
     rank = {"bm25_score": F.col("score").cast("double"), "retrieval_rank": F.col("rank").cast("double"), "is_top1": F.when(F.col("rank") == 1, 1.0).otherwise(0.0)}

@@ -70,7 +70,7 @@ def f1_token_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def f2_similarity(spark: SparkSession, d: str) -> DataFrame:
     q, s = whole("q"), whole("s")
-    return met(spark, d).select("query_id", "s1_id", F.round(similarity.levenshtein(q, s), 6).alias("lev"), F.round(similarity.fuzzy(q, s)["jaro_winkler"], 6).alias("jw"), similarity.length_diff(q, s).alias("len_diff"), F.round(similarity.length_ratio(q, s), 6).alias("len_ratio"))
+    return met(spark, d).select("query_id", "s1_id", F.round(similarity.levenshtein(q, s), 6).alias("lev"), F.round(similarity.fuzzy(q, s, "jaro_winkler")["jaro_winkler"], 6).alias("jw"), similarity.length_diff(q, s).alias("len_diff"), F.round(similarity.length_ratio(q, s), 6).alias("len_ratio"))
 
 
 def f2_fuzzy(spark: SparkSession, d: str) -> DataFrame:
