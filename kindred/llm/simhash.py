@@ -35,6 +35,8 @@ from .components import components
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 4, 4, 5, 42
 BUCKET_ROWS = 16_384
+#: Fingerprints whose 25 keys each one task makes (adaptive execution would size tasks by what comes in, a 25th of it), and the most tasks for it.
+KEY_ROWS, KEY_TASKS = 50_000, 20_000
 _STARTS = (0, 13, 26, 39, 52, 64)
 
 
@@ -151,7 +153,8 @@ def _near_words(batches):
 
 def links(fps: DataFrame, rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (u, v) over distinct fps (column fp; about `rows`) with the components of all pairs within DISTANCE bits."""
-    keys = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("pid"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, (_, m) in enumerate(patterns())))).alias("k")).select("fp", "k.pid", "k.part")
+    spread = fps.select("fp").repartition(min(KEY_TASKS, max(1, -(-rows // KEY_ROWS))))
+    keys = spread.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("pid"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for i, (_, m) in enumerate(patterns())))).alias("k")).select("fp", "k.pid", "k.part")
     held = common.cut(keys.groupBy("pid", "part").agg(F.count("*").alias("n")).where("n > 1"), "buckets", rows)
     full = common.cut(keys.join(held.hint("merge"), ["pid", "part"]), "members", 4 * rows)  # one plan at every size
     edges = full.where(F.col("n") <= bucket_rows).groupBy("pid", "part").agg(F.collect_list("fp").alias("fps")).select("pid", "fps").mapInArrow(_link, "u long, v long")
